@@ -6,14 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_store
+from . import decontaminate, packing, secrets, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc_salvage": warc.op4,
+    "op5_secret_ledger": secrets.op5,
     "op8_token_frames": token_store.op8,
+    "op9_packing": packing.op9,
     "op10_decontamination": decontaminate.op10,
 }
 
 SQL: dict[str, str] = {
+    "op4_warc_salvage": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT h, first, sha1(h) AS x FROM f),
+b AS (SELECT h, first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v AS INTEGER) + 1, 1), '' ORDER BY g, k) AS b32
+      FROM (SELECT h, first, g, k, (n >> CAST(5 * (7 - k) AS BIGINT)) & 31 AS v
+            FROM (SELECT h, first, g, CAST('0x' || substr(x, CAST(g * 10 + 1 AS BIGINT), 10) AS BIGINT) AS n FROM d, range(4) r(g)), range(8) s(k))
+      GROUP BY h, first)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, b.b32 AS payload_digest,
+       CASE WHEN p.page_id = b.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = b.first THEN NULL ELSE b.first END AS refers_to
+FROM p JOIN b ON p.h = b.h
+""",
+    "op5_secret_ledger": r"""
+WITH m AS (
+  SELECT doc_id, 0 AS kind, 'assign' AS name, 6 AS least,
+    string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
+    regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS found,
+    regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS held
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  UNION ALL
+  SELECT doc_id, 1, 'access', 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+')
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  UNION ALL
+  SELECT doc_id, 2, 'hex', 24, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+')
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+e AS (SELECT doc_id, kind, name, least, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS hit, unnest(held) AS own, generate_subscripts(found, 1) AS i
+      FROM m WHERE len(found) > 0),
+s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM e),
+f AS (SELECT doc_id, kind, name, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE length(own) >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN a USING (doc_id)
+""",
     "op10_decontamination": r"""
 WITH dw AS (
   SELECT doc_id, w, CAST(pos AS BIGINT) AS pos
