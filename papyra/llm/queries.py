@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, token_store, warc
+from . import decontaminate, html_extract, packing, secrets, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_salvage": warc.op4,
     "op5_secret_ledger": secrets.op5,
+    "op6_toxicity_chain": toxicity.op6,
+    "op7_main_text": html_extract.op7,
     "op8_token_frames": token_store.op8,
     "op9_packing": packing.op9,
     "op10_decontamination": decontaminate.op10,

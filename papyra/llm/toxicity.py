@@ -49,6 +49,8 @@ class Chain:
     weights: np.ndarray
     bias: np.ndarray
     links: np.ndarray
+    #: Probability from which a category is assigned: the best F1 over the out-of-fold predictions.
+    thresholds: np.ndarray
     seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -83,7 +85,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(row: np.ndarray, index: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 300):
+def _fit(row: np.ndarray, index: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray, l2: float = 2e-5, steps: int = 400):
     """Logistic regression over binary features and dense extra columns, by accelerated gradient steps."""
     n, e = len(y), extra.shape[1]
     rate = float(np.clip(y.mean() if n else 0, 1e-4, 1 - 1e-4))
@@ -176,7 +178,7 @@ def fit_chain(
         for part in strong:
             keys.update(bytes(r[0]) for r in part.collect())
         vocabulary = {f: i for i, f in enumerate(sorted(keys))}
-    model = Chain(names, vocabulary, np.zeros((len(names), len(vocabulary))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
+    model = Chain(names, vocabulary, np.zeros((len(names), len(vocabulary))), np.full(len(names), -40.0), np.zeros((len(names), len(names))), np.full(len(names), 0.5))
     if n_all:
         rows, y = _matrix(sample, model, ys)
         _fit_all(model, rows, y)
@@ -218,8 +220,6 @@ def _fit_all(model: Chain, rows: list[set[int]], labels: np.ndarray) -> None:
         w, b, links = _fit(row, index, width, earlier, y)
         model.weights[k], model.bias[k] = w, b
         model.links[k, :k] = links
-        if k + 1 == len(model.names):
-            break
         out = np.zeros(n)
         for f in range(FOLDS):
             own, rest = fold == f, fold != f
@@ -228,9 +228,22 @@ def _fit_all(model: Chain, rows: list[set[int]], labels: np.ndarray) -> None:
             w, b, links = _fit(renumber[row[used]], index[used], width, earlier[rest], y[rest])
             score = np.bincount(row, w[index], n) + earlier @ links + b
             out[own] = _sigmoid(score)[own]
+        model.thresholds[k] = _best_threshold(out, y)
         earlier = np.column_stack([earlier, out])
 
 
+def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap at which F1 is best; 0.5 where one class is missing."""
+    if len(y) == 0 or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hit = p[order], np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = -1
+    k = int(np.argmax(f1))
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
+
+
 def score(docs: DataFrame, model: Chain, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__p``, the probabilities in the order of the chain. Null counts as the empty text; an
     older column of that name is replaced."""
@@ -251,11 +264,12 @@ def score(docs: DataFrame, model: Chain, *, text_col: str = "text") -> DataFrame
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
 
 
-def reject(docs: DataFrame, labels: DataFrame, *, category: str = "toxic", threshold: float = 0.5, **how) -> DataFrame:
-    """``docs`` without those whose probability of ``category`` reaches the threshold; columns as they were."""
+def reject(docs: DataFrame, labels: DataFrame, *, category: str = "toxic", **how) -> DataFrame:
+    """``docs`` without those whose probability of ``category`` reaches its threshold; columns as they were."""
     model = fit_chain(docs, labels, **how)
     at = model.names.index(category)
-    return score(docs, model, text_col=how.get("text_col", "text")).where(F.col("__p")[at] < threshold).drop("__p")
+    clean = F.col("__p")[at] < float(model.thresholds[at])
+    return score(docs, model, text_col=how.get("text_col", "text")).where(clean).drop("__p")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,4 +279,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_chain(docs, table(spark, sf_dir, "labels"))
     p = [F.col("__p")[k].alias(f"p_{n}") for k, n in enumerate(model.names)]
-    return score(docs.select("doc_id", "text"), model).select("doc_id", *p, (F.col("__p")[model.names.index("toxic")] >= 0.5).alias("toxic"))
+    at = model.names.index("toxic")
+    toxic = (F.col("__p")[at] >= float(model.thresholds[at])).alias("toxic")
+    return score(docs.select("doc_id", "text"), model).select("doc_id", *p, toxic)
