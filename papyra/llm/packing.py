@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, raw_utf8, slices
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 SIZE = 2048
 END_ID = 1
@@ -39,7 +39,6 @@ def cut(
     """Pieces of every document: full ones from its start, then the rest. Null texts count as empty, and
     hold ``end_id`` alone. Rows with null or repeated ids are cut like any other."""
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -47,11 +46,10 @@ def cut(
             out: list[tuple] = []
             texts = [t.decode() for t in raw_utf8(batch.column(1))]
             for key, ids in zip(batch.column(0).to_pylist(), encode.encode(texts)):
-                data = memoryview(ids + end)
-                total = len(data) // 4
-                for a in range(0, total, size):
-                    piece = data[4 * a : 4 * (a + size)]
-                    out.append((key, a, len(piece) // 4, zlib.crc32(piece), total))
+                ids = with_end(ids, end_id)
+                for a in range(0, len(ids), size):
+                    piece = ids[a : a + size]
+                    out.append((key, a, len(piece), zlib.crc32(piece.view(np.uint8)), len(ids)))
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import filesystem, materialise, raw_utf8, scratch, slices
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -162,7 +162,6 @@ def write_shards(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     ordered = rows.repartitionByRange("__id").sortWithinPartitions("__id", "__text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -175,8 +174,9 @@ def write_shards(
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
                 writer = ShardWriter(out, width)
-            for key, data in zip(batch.column(0).to_pylist(), encode.encode([t.decode() for t in raw_utf8(batch.column(1))])):
-                ids = np.frombuffer(data + end, "<u4")
+            texts = [t.decode() for t in raw_utf8(batch.column(1))]
+            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(texts)):
+                ids = with_end(ids, end_id)
                 if width == 2 and int(ids.max()) >> 16:
                     raise ValueError("an id of 65536 or more needs width 4")
                 total += len(ids)

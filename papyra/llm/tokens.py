@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -13,8 +15,9 @@ CACHE_CHUNKS = 500_000
 _MARK = "\x01"
 #: Chunks encoded together in one call.
 _TOGETHER = 4096
-#: Ending of a chunk which the word pre-tokenizer splits off as a token of its own.
-_ENDINGS = (".", ",")
+#: A word of Latin letters (which normalising leaves alone, but for the case) and one ending which the
+#: pre-tokenizer splits off as a token of its own.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([.,]?)")
 
 
 def default_tokenizer() -> str:
@@ -24,12 +27,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """ids of a text = ids of its chunks between single spaces or line feeds, one after the other.
 
     That holds for tokenizers which cut at white space before merging, normalise character by
     character (NFC, lower case) and drop white space, as ``word_bpe_49k.json`` does; the
     constructor refuses others. Texts in which a special token's string occurs are encoded whole.
+    A chunk that is a plain word goes straight to the library's merge model.
     """
 
     def __init__(self, path: str | None = None):
@@ -40,81 +51,83 @@ class ChunkEncoder:
 
         self.path = path or default_tokenizer()
         self.tokenizer = Tokenizer.from_file(self.path)
+        self.model = self.tokenizer.model
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         mark = self._encode(_MARK)
         probe = self._encode(f"it's {_MARK} Ünder-way, 42. {_MARK}\n x")
         parts = [self._encode(x) for x in ("it's", _MARK, "Ünder-way,", "42.", _MARK, "x")]
         if len(mark) != 1 or probe != sum(parts, []):
             raise ValueError(f"{self.path}: the tokenizer does not cut at white space")
         self.mark = mark[0]
-        self.ending = {x: np.array(self._encode(x), np.uint32).tobytes() for x in _ENDINGS}
-        self.splits_endings = all(
-            self._encode("word" + x) == self._encode("word") + self._encode(x) for x in _ENDINGS
-        ) and self._encode("WoRD") == self._encode("word")
+        self.letters = _byte_letters()
+        self.ending = {x: self._pack(self._encode(x)) if x else b"" for x in ("", ".", ",")}
+        self.direct = all(
+            self._pack(self._encode(w + x)) == self._word(w.lower()) + self.ending[x]
+            for w in ("word", "WoRDlings", "Ünter", "çãÆþįøÿ", "ñÀ", "xqzvw", "ß")
+            for x in self.ending
+        )
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """ids of a lower-case word of letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode plain chunks together, cut at the marks, and keep them."""
+        step = self.dtype.itemsize
         for at in range(0, len(chunks), _TOGETHER):
             part = chunks[at : at + _TOGETHER]
-            ids = np.array(self._encode(f" {_MARK} ".join(part)), np.uint32)
+            ids = np.array(self._encode(f" {_MARK} ".join(part)), self.dtype)
             data = ids.tobytes()
-            ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            ends = (np.flatnonzero(ids == self.mark) * step).tolist()
             if len(ends) != len(part) - 1:
                 raise ValueError("a chunk holds the mark")
-            for chunk, a, b in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(data)]):
+            for chunk, a, b in zip(part, [0, *(e + step for e in ends)], [*ends, len(data)]):
                 self.cache[chunk] = data[a:b]
 
-    @staticmethod
-    def _ended(chunk: str) -> bool:
-        """One full stop or comma after a plain Latin letter, which is a token by itself."""
-        return len(chunk) > 1 and chunk[-1] in _ENDINGS and chunk[-2] < "\u0130" and chunk[-2].isalpha()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of every text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of every text."""
         if len(self.cache) > CACHE_CHUNKS:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        split = [
-            None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts
-        ]
+        split = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
         unseen: set[str] = set()
         for chunks in split:
             if chunks is not None:
                 unseen.update(set(chunks).difference(cache))
-        plain: set[str] = set()
-        ended: list[tuple[str, str]] = []
+        if old := unseen.intersection(older):
+            cache.update(zip(old, map(older.__getitem__, old)))
+            unseen -= old
+        plain: list[str] = []
+        shape, word, ending = _WORD.fullmatch, self._word, self.ending
         for c in unseen:
-            if (known := older.get(c)) is not None:
-                cache[c] = known
-            elif _MARK in c:
-                cache[c] = np.array(self._encode(c), np.uint32).tobytes()
-            elif not c:
-                cache[c] = b""
-            elif self.splits_endings and c.isascii():
-                low = (c[:-1] if self._ended(c) else c).lower()
-                if low not in cache:
-                    plain.add(low)
-                if low != c:
-                    ended.append((c, low))
-            elif self.splits_endings and self._ended(c):
-                if c[:-1] not in cache:
-                    plain.add(c[:-1])
-                ended.append((c, c[:-1]))
+            if self.direct and (m := shape(c)):
+                low = m[1].lower()
+                ids = cache.get(low) or older.get(low)
+                if ids is None:
+                    ids = word(low)
+                cache[low] = ids
+                cache[c] = ids + ending[m[2]] if m[2] else ids
+            elif not c or _MARK in c:
+                cache[c] = self._pack(self._encode(c))
             else:
-                plain.add(c)
-        self._learn(list(plain))
-        for c, stem in ended:
-            cache[c] = cache[stem] + (self.ending[c[-1]] if len(stem) < len(c) else b"")
+                plain.append(c)
+        self._learn(plain)
         get = cache.__getitem__
         return [
-            np.array(self._encode(t), np.uint32).tobytes() if chunks is None else b"".join(map(get, chunks))
+            np.array(self._encode(t), self.dtype) if chunks is None else np.frombuffer(b"".join(map(get, chunks)), self.dtype)
             for t, chunks in zip(texts, split)
         ]
 
@@ -127,3 +140,11 @@ def encoder(path: str | None = None) -> ChunkEncoder:
     if (key := path or "") not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path)
     return _ENCODERS[key]
+
+
+def with_end(ids: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids and the id that ends a document, as unsigned 32-bit little-endian integers."""
+    out = np.empty(len(ids) + 1, "<u4")
+    out[:-1] = ids
+    out[-1] = end_id
+    return out
