@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of a string column; a longer text is a batch by itself."""
+    for batch in batches:
+        lengths = [n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()]
+        start = total = 0
+        for k, n in enumerate(lengths):
+            if total and total + n > size:
+                yield batch.slice(start, k - start)
+                start, total = k, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def raw_utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

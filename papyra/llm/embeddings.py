@@ -26,6 +26,8 @@ from .components import components
 THRESHOLD = 0.9
 #: Share of the sample queries' links that the visited cells must hold.
 TARGET_RECALL = 0.99
+#: Cells a query visits at least, whatever the calibration says.
+LEAST_VISITS = 8
 #: Rows that codebooks are fitted on, and queries that the traversal is calibrated with, at most.
 FIT_ROWS = 32_768
 CALIBRATION_ROWS = 256
@@ -65,7 +67,7 @@ class MultiIndex:
 
     first: np.ndarray
     second: np.ndarray
-    visits: int = 1
+    visits: int = LEAST_VISITS
 
     @property
     def half(self) -> int:
@@ -142,7 +144,7 @@ def _fit(rows: DataFrame, n: int, dtype: np.dtype, dim: int, threshold: float, t
     total, so_far = sum(r["n"] for r in by_rank), 0
     for r in by_rank:
         so_far += r["n"]
-        index.visits = max(1, r["rank"])
+        index.visits = max(LEAST_VISITS, r["rank"])
         if so_far >= target * total:
             break
     return index

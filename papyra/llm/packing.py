@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, raw_utf8, slices
+from ._common import materialise, slices_of
 from .tokens import encoder, with_end
 
 SIZE = 2048
@@ -42,10 +42,9 @@ def cut(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in slices(batches, 512):
+        for batch in slices_of(batches, "__text"):
             out: list[tuple] = []
-            texts = [t.decode() for t in raw_utf8(batch.column(1))]
-            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(texts)):
+            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
                 ids = with_end(ids, end_id)
                 for a in range(0, len(ids), size):
                     piece = ids[a : a + size]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, raw_utf8, scratch, slices
+from ._common import filesystem, materialise, scratch, slices_of
 from .tokens import encoder, with_end
 
 # Fixed values of the zstd seekable format.
@@ -169,13 +169,12 @@ def write_shards(
         fs, path = filesystem(f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.zst")
         out = writer = None
         total = 0
-        for batch in slices(batches, 512):
+        for batch in slices_of(batches, "__text"):
             if writer is None:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
                 writer = ShardWriter(out, width)
-            texts = [t.decode() for t in raw_utf8(batch.column(1))]
-            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(texts)):
+            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
                 ids = with_end(ids, end_id)
                 if width == 2 and int(ids.max()) >> 16:
                     raise ValueError("an id of 65536 or more needs width 4")

@@ -7,6 +7,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in the younger half of a worker's cache. When it is full it becomes the older half and the
 #: former older half goes; chunks met again move back, so frequent ones stay.
@@ -97,23 +99,48 @@ class ChunkEncoder:
             for chunk, a, b in zip(part, [0, *(e + step for e in ends)], [*ends, len(data)]):
                 self.cache[chunk] = data[a:b]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """ids of every text."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of every text of a string column, null as of the empty text.
+
+        Arrow cuts the column into chunks and numbers the different ones; only these are looked up, and
+        numpy lays their ids out in the order of the texts.
+        """
+        texts = pc.fill_null(texts, "")
+        for special in self.special:
+            if pc.any(pc.match_substring(texts, special)).as_py():
+                return self._encode_each(texts.to_pylist())
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        data = self._look_up(coded.dictionary.to_pylist())
+        step = self.dtype.itemsize
+        pool = np.frombuffer(b"".join(data), self.dtype)
+        size = np.fromiter(map(len, data), np.int64, len(data)) // step
+        start = np.cumsum(size) - size
+        chunk = coded.indices.to_numpy()
+        sizes = size[chunk]
+        ends = np.cumsum(sizes)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[chunk] - (ends - sizes), sizes)]
+        bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_each(self, texts: list[str]) -> list[np.ndarray]:
+        """A column in which a special token's string occurs: such texts are encoded whole."""
+        return [
+            np.array(self._encode(t), self.dtype) if any(s in t for s in self.special) else self.encode(pa.array([t]))[0]
+            for t in texts
+        ]
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """ids of different chunks, from the cache where they are known."""
         if len(self.cache) > CACHE_CHUNKS:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        split = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        unseen: set[str] = set()
-        for chunks in split:
-            if chunks is not None:
-                unseen.update(set(chunks).difference(cache))
-        if old := unseen.intersection(older):
-            cache.update(zip(old, map(older.__getitem__, old)))
-            unseen -= old
         plain: list[str] = []
         shape, word, ending = _WORD.fullmatch, self._word, self.ending
-        for c in unseen:
-            if self.direct and (m := shape(c)):
+        for c in set(chunks).difference(cache):
+            if (ids := older.get(c)) is not None:
+                cache[c] = ids
+            elif self.direct and (m := shape(c)):
                 low = m[1].lower()
                 ids = cache.get(low) or older.get(low)
                 if ids is None:
@@ -125,11 +152,7 @@ class ChunkEncoder:
             else:
                 plain.append(c)
         self._learn(plain)
-        get = cache.__getitem__
-        return [
-            np.array(self._encode(t), self.dtype) if chunks is None else np.frombuffer(b"".join(map(get, chunks)), self.dtype)
-            for t, chunks in zip(texts, split)
-        ]
+        return list(map(cache.__getitem__, chunks))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
