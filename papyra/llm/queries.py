@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html_extract, line_dedup, packing, secrets, token_store, toxicity, warc
+from . import decontaminate, embeddings, html_extract, line_dedup, minhash, packing, secrets, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_multi_index": embeddings.op1,
+    "op2_bag_minhash": minhash.op2,
     "op3_line_chunks": line_dedup.op3,
     "op4_warc_salvage": warc.op4,
     "op5_secret_ledger": secrets.op5,

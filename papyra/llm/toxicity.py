@@ -160,28 +160,26 @@ def fit_chain(
     positives = "".join(f", p{k} long" for k in range(len(names)))
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(y) > 0.5).cast("long")).alias(y) for y in ys]).first()
     n_all = total["n"] or 0
-    counted = (
-        sample.select("__id", "__text", *ys)
-        .mapInArrow(count, "feature binary, n long" + positives)
-        .groupBy("feature")
-        .agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(names))])
-        .where(F.col("n") >= LEAST_ROWS)
-    )
     vocabulary: dict[bytes, int] = {}
     if n_all:
-        scored = counted.select("feature", *[_z(f"p{k}", total[ys[k]] or 0, n_all).alias(f"z{k}") for k in range(len(names))])
-        strong = [
-            scored.where(F.col(f"z{k}") >= LEAST_Z).orderBy(F.desc(f"z{k}"), "feature").limit(FEATURES).select("feature")
-            for k in range(len(names))
-        ]
+        counted = (
+            sample.select("__id", "__text", *ys)
+            .mapInArrow(count, "feature binary, n long" + positives)
+            .groupBy("feature")
+            .agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(names))])
+            .where(F.col("n") >= LEAST_ROWS)
+        )
+        zs = [_z(f"p{k}", total[ys[k]] or 0, n_all).alias(f"z{k}") for k in range(len(names))]
+        scored = materialise(counted.select("feature", *zs).where(F.greatest(F.lit(0.0), *zs) >= LEAST_Z), "features")
         keys = set()
-        for part in strong:
-            keys.update(bytes(r[0]) for r in part.collect())
+        for k in range(len(names)):
+            best = scored.where(F.col(f"z{k}") >= LEAST_Z).orderBy(F.desc(f"z{k}"), "feature").limit(FEATURES)
+            keys.update(best.select("feature").toArrow().column(0).to_pylist())
+        release(scored)
         vocabulary = {f: i for i, f in enumerate(sorted(keys))}
     model = Chain(names, vocabulary, np.zeros((len(names), len(vocabulary))), np.full(len(names), -40.0), np.zeros((len(names), len(names))), np.full(len(names), 0.5))
     if n_all:
-        rows, y = _matrix(sample, model, ys)
-        _fit_all(model, rows, y)
+        _fit_all(model, *_matrix(sample, model, ys))
     release(sample)
     return model
 
@@ -193,8 +191,8 @@ def _z(positive: str, n_positive: int, n_all: int) -> Column:
     return F.abs(F.log(a) - F.log(c) - F.log(b) + F.log(d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
-def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[list[set[int]], np.ndarray]:
-    """The sample's feature sets and labels, in an order that does not depend on partitions."""
+def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of every feature found in the sample, and the labels, in an order that does not depend on partitions."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -204,15 +202,17 @@ def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[list[set[in
             )
 
     kept = sample.select("__id", "__text", *ys).mapInArrow(find, "__id long, " + ", ".join(f"{y} double" for y in ys) + ", found array<int>")
-    table = sorted((r["__id"], r["found"], [r[y] for y in ys]) for r in kept.collect())
-    return [set(f) for _, f, _ in table], np.array([y for _, _, y in table]).reshape(len(table), len(ys)) > 0.5
+    table = kept.toArrow().combine_chunks().sort_by([("__id", "ascending")])
+    labels = np.column_stack([table.column(y).to_numpy() for y in ys]) > 0.5
+    found = table.column("found").combine_chunks()
+    index = found.flatten().to_numpy()
+    row = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(np.asarray(found.offsets)))
+    return row, index, labels
 
 
-def _fit_all(model: Chain, rows: list[set[int]], labels: np.ndarray) -> None:
+def _fit_all(model: Chain, row: np.ndarray, index: np.ndarray, labels: np.ndarray) -> None:
     """Fit category after category; folds are taken by position in the sorted sample."""
-    n, width = len(rows), len(model.vocabulary)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    index = np.fromiter((i for r in rows for i in sorted(r)), np.int64, len(row))
+    n, width = len(labels), len(model.vocabulary)
     fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     for k in range(len(model.names)):
