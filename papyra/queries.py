@@ -1,4 +1,4 @@
-"""Queries of the document operators over the given tables, and the SQL that must give the same rows."""
+"""All queries of the document operators over the given tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import read
+
+_MODULES = (read,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
