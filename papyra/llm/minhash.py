@@ -9,8 +9,8 @@ text are very likely filled; a text with a place left over is done again up to a
 
 Texts that are equal are one class first. Bands of the signature put classes into buckets. In a bucket only the
 pairs with one centre, another in every bucket, are verified, in two rounds; what is connected by then needs no
-further proof. Where a bucket still holds several components, its remaining pairs are verified in blocks. So no
-bucket is capped and no list of all its pairs is written.
+further proof. Where a bucket still holds several components, every text outside the largest of them is compared
+with all texts of the bucket, in blocks. So no bucket is capped and no list of all its pairs is written.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Centres of one text in the first round; the second takes all that are left.
 FIRST_CENTRES = 3
-#: Texts that one task compares with one centre, and texts in a block of the last round.
+#: Texts that one task compares with one centre.
 STAR_ROWS = 512
-BLOCK_ROWS = 96
+#: In the last round: texts that are asked for in one task, texts that they are compared with in it, and shingles
+#: of the former that are held as one table.
+ASKED_ROWS, OTHER_ROWS = 512, 20_000
+HELD_SHINGLES = 500_000
 
 _LETTERS = np.frombuffer(_WORD_BYTES, np.uint8)
 _U = np.uint64
@@ -170,6 +173,23 @@ class Bag:
         self.items, _, self.weights = bags([text], shingle)
         self.total = int(self.weights.sum())
 
+    @classmethod
+    def of(cls, texts: list[bytes]) -> list[Bag]:
+        """The bags of many texts, made together."""
+        out = []
+        for at in range(0, len(texts), 1 << _DOC_BITS):
+            part = texts[at : at + (1 << _DOC_BITS)]
+            items, doc, weights = bags(part)
+            order = np.argsort(doc, kind="stable")
+            ends = np.cumsum(np.bincount(doc, minlength=len(part)))
+            items, weights = items[order], weights[order]
+            for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                bag = cls.__new__(cls)
+                bag.items, bag.weights = items[a:b], weights[a:b]
+                bag.total = int(bag.weights.sum())
+                out.append(bag)
+        return out
+
     def similarity(self, other: Bag, at_least: float = 0.0) -> float:
         """Weighted Jaccard similarity; 0 at once where the sizes alone keep it below ``at_least``."""
         small, large = sorted((self.total, other.total))
@@ -182,6 +202,45 @@ class Bag:
         return shared / (self.total + other.total - shared)
 
 
+class Shelf:
+    """Many bags, to be compared with one at a time.
+
+    Shingles that many of the bags hold are rows of a dense table, so that a text meets all bags in a few array
+    operations; the others are lists of the bags that hold them.
+    """
+
+    def __init__(self, held: list[Bag], dense_from: int = 8):
+        self.totals = np.array([b.total for b in held], np.int64)
+        items = np.concatenate([b.items for b in held])
+        owner = np.repeat(np.arange(len(held)), [len(b.items) for b in held])
+        weights = np.concatenate([b.weights for b in held])
+        order = np.argsort(items, kind="stable")
+        items, self.owner, self.weights = items[order], owner[order], weights[order]
+        self.items, self.first, self.count = np.unique(items, return_index=True, return_counts=True)
+        dense = np.flatnonzero(self.count >= dense_from)
+        self.row = np.full(len(self.items) + 1, -1)
+        self.row[dense] = np.arange(len(dense))
+        self.table = np.zeros((len(dense), len(held)), np.int32)
+        where = self.row[np.repeat(np.arange(len(self.items)), self.count)]
+        self.table[where[where >= 0], self.owner[where >= 0]] = self.weights[where >= 0]
+
+    def similarities(self, bag: Bag) -> np.ndarray:
+        """Weighted Jaccard similarities of the bag and all held ones."""
+        at = np.searchsorted(self.items, bag.items)
+        at[at == len(self.items)] = 0
+        known = self.items[at] == bag.items
+        at, weights = at[known], bag.weights[known]
+        row = self.row[at]
+        dense = row >= 0
+        shared = np.minimum(self.table[row[dense]], weights[dense][:, None]).sum(axis=0).astype(np.int64)
+        at, weights = at[~dense], weights[~dense]
+        n = self.count[at]
+        post = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        rare = np.minimum(self.weights[post], np.repeat(weights, n))
+        shared = shared + np.bincount(self.owner[post], rare, len(self.totals))
+        return shared / np.maximum(self.totals + bag.total - shared, 1)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("key", F.unhex(F.md5("text")))
@@ -234,9 +293,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rest = found.where("label <> centre_label").select("centre", "rep").distinct().join(first, ["centre", "rep"], "left_anti")
     links.append(_verify_stars(materialise(rest, "stars"), texts, similarity))
     found = _labelled(members, links)
-    mixed = found.where("n > 2").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("m")).where("lo <> hi")
-    left = materialise(found.join(mixed.select(F.col("bucket").alias("b"), "m"), F.col("bucket") == F.col("b")).select("bucket", "m", "rep", "label"), "left")
-    links.append(_verify_blocks(left, texts, similarity))
+    sizes = found.where("n > 2").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy(F.col("bucket").alias("b"))
+        .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+        .select("b", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("asked"))
+    )
+    left = materialise(
+        found.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "rep", "label", "main", "all", "asked"), "left"
+    )
+    links.append(_verify_rest(left, texts, similarity))
     groups = components(links[0].union(links[1]).union(links[2]), a="centre", b="rep")
     named = (
         reps.select("rep", F.col("key").alias("k"))
@@ -280,65 +347,94 @@ def _verify_stars(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
         for batch in slices_of(batches, "text"):
             out: list[tuple[int, int]] = []
             columns = [batch.column(k).to_pylist() for k in (0, 2, 3)]
-            for centre, kind, rep, text in zip(*columns, raw_utf8(batch.column(4))):
+            for centre, kind, rep, own in zip(*columns, Bag.of(raw_utf8(batch.column(4)))):
                 if kind == 0:
-                    bag = Bag(text)
-                elif bag.similarity(Bag(text), similarity) >= similarity:
+                    bag = own
+                elif bag.similarity(own, similarity) >= similarity:
                     out.append((centre, rep))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["centre", "rep"])
 
     return materialise(rows.mapInArrow(run, "centre long, rep long"), "verified")
 
 
-def _verify_blocks(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of different labels in the buckets of ``left`` (bucket, m members, rep, label)."""
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    own = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
-    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label"
-    )
-    rows = placed.join(texts, "rep").select("bucket", "i", "j", "own", "rep", "label", "text")
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "rep")
-
-    def linked(group: list[tuple]) -> list[tuple[int, int]]:
-        i, j = group[0][1:3]
-        parent = {g[5]: g[5] for g in group}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def _verify_rest(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of different labels in the buckets of ``left``.
 
-        out = []
-        todo = [(g[3], g[4], g[5], Bag(g[6])) for g in group]
-        for k, (own, rep, label, bag) in enumerate(todo):
-            for other_own, other, other_label, other_bag in todo[:k]:
-                if i != j and own == other_own or find(label) == find(other_label):
-                    continue
-                if bag.similarity(other_bag, similarity) >= similarity:
-                    out.append((rep, other))
-                    parent[find(label)] = find(other_label)
-        return out
+    ``left`` has bucket, rep, label, ``main`` (the most frequent label), ``all`` members, and how many are ``asked``,
+    that is, are not of the main label. These are held block by block, and all members of the bucket pass by them.
+    """
+    parts = left.withColumns(
+        {"ablocks": F.ceil(F.col("asked") / ASKED_ROWS).cast("int"), "oblocks": F.ceil(F.col("all") / OTHER_ROWS).cast("int")}
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
+    asked = parts.where("label <> main").withColumn("a", own("ablocks")).withColumn("o", every("oblocks")).withColumn("kind", F.lit(0))
+    others = parts.withColumn("o", own("oblocks")).withColumn("a", every("ablocks")).withColumn("kind", F.lit(1))
+    rows = asked.unionByName(others).select("bucket", "a", "o", "kind", "rep", "label").join(texts, "rep")
+    rows = rows.select("bucket", "a", "o", "kind", "rep", "label", "text")
+    dealt = rows.repartition("bucket", "a", "o").sortWithinPartitions("bucket", "a", "o", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in slices_of(batches, "text"):
+        key, group = None, None
+        for batch in slices_of(batches, "text", 4 << 20):
             out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), raw_utf8(batch.column(6))):
-                if group and row[:3] != group[0][:3]:
-                    out += linked(group)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["centre", "rep"])
-        if group:
-            out = linked(group)
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for *place, kind, rep, label, bag in zip(*columns, Bag.of(raw_utf8(batch.column(6)))):
+                if place != key:
+                    key, group = place, _Asked(similarity)
+                if kind == 0:
+                    group.hold(rep, label, bag)
+                else:
+                    out += group.meet(rep, label, bag)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["centre", "rep"])
 
-    # own, rep and label follow the block's key, so a row reads bucket, i, j, own, rep, label, text.
     return materialise(dealt.mapInArrow(run, "centre long, rep long"), "verified")
 
 
+class _Asked:
+    """Texts held in one task of the last round, and which labels its links have joined so far."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.held: list[tuple[int, int, Bag]] = []
+        self.shelves: list[tuple[np.ndarray, np.ndarray, Shelf]] = []
+        self.parent: dict[int, int] = {}
+
+    def hold(self, rep: int, label: int, bag: Bag) -> None:
+        self.held.append((rep, label, bag))
+
+    def _find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def _build(self) -> None:
+        part: list[tuple[int, int, Bag]] = []
+        size = 0
+        for k, x in enumerate(self.held):
+            part.append(x)
+            size += len(x[2].items)
+            if size >= HELD_SHINGLES or k + 1 == len(self.held):
+                reps, labels, own = zip(*part)
+                self.shelves.append((np.array(reps), np.array(labels), Shelf(list(own))))
+                part, size = [], 0
+        self.held = []
+
+    def meet(self, rep: int, label: int, bag: Bag) -> list[tuple[int, int]]:
+        """Links of a text to held ones that join labels not joined before."""
+        if self.held:
+            self._build()
+        out = []
+        for reps, labels, shelf in self.shelves:
+            for k in np.flatnonzero((shelf.similarities(bag) >= self.similarity) & (labels != label)).tolist():
+                a, b = self._find(label), self._find(int(labels[k]))
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+                    out.append((rep, int(reps[k])))
+        return out
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; rows of null class all stay.
 

@@ -118,6 +118,8 @@ def _headers(data: bytes) -> dict[str, str]:
 
 def _checked(offset: int, length: int, headers: dict[str, str], block: bytes) -> Record:
     """Digests of block and payload as stated; lengths as the HTTP headers state them."""
+    if missing := [h for h in ("warc-type", "warc-record-id", "warc-date") if not headers.get(h, "").strip("<>")]:
+        raise Damaged(f"no {missing[0]}")
     record = Record(offset, length, headers, block)
     if (stated := headers.get("warc-block-digest", "")).startswith("sha1:") and stated[5:] != sha1_base32(block):
         raise Damaged("wrong block digest")
