@@ -80,7 +80,8 @@ def test_main_path_is_native(spark, make_docs, tmp_path):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
-def test_query(spark, sf_dir):
+def test_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
     from papyra.llm._common import table
 
     want = {r.doc_id: brute(r.text) for r in table(spark, sf_dir, "documents").collect()}
