@@ -97,9 +97,9 @@ def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against the beginnings of the documents of the same number: shared letters."""
+    """Benchmark items against the whole documents of the same number: shared letters."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("stated"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 60).alias("drawn"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("drawn"))
     return scan.restated(items.join(docs, "item_id"), key="item_id", stated="stated", drawn="drawn")
 
 
