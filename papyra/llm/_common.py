@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed on in one Arrow batch by the Python stages; texts are streamed, never gathered.
 BATCH_ROWS = 2048
+#: Bytes in one Arrow batch that goes to Python while a table is written.
+BATCH_BYTES = 4 << 20
 
 _FALLBACK: dict[str, str] = {}
 
@@ -27,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URL of the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session decides. Only where it is unset, as in tests on one
-    machine, a temporary folder of this process takes its place.
+    ``spark.checkpoint.dir`` of the session decides. Only where it is unset and the master is local, as in tests
+    on one machine, a temporary folder of this process takes its place; elsewhere that raises.
     """
     url = spark.conf.get("spark.checkpoint.dir", None)
     if not url:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         url = known.get() if known.isDefined() else None
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not url:
         url = _FALLBACK.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="papyra-"))
     return url.rstrip("/")
@@ -50,12 +55,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: after the loss of an executor only the readers of the table run again.
     """
     path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._papyra_path = path
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, Arrow batches hold BATCH_BYTES at most, so that a task's memory does not grow with its texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by :func:`materialise` which nothing will read again."""
     for df in frames:

@@ -37,6 +37,10 @@ STAR_ROWS = 512
 #: of the former that are held as one table.
 ASKED_ROWS, OTHER_ROWS = 512, 20_000
 HELD_SHINGLES = 500_000
+#: Bytes of text that are signed together, and points that are made at a time: what a task holds depends on these,
+#: not on the lengths of the texts.
+SIGN_BYTES = 512 << 10
+POINTS = 1 << 18
 
 _LETTERS = np.frombuffer(_WORD_BYTES, np.uint8)
 _U = np.uint64
@@ -118,8 +122,9 @@ def signatures(texts: list[bytes], places: int = BANDS * ROWS, shingle: int = SH
         own = todo[doc]
         # Texts of few shingles see many points of each; these are made several at a time.
         few = total[doc] < 64
-        for some, together in ((own & ~few, 1), (own & few, 16)):
-            _points(item[some], doc[some], weight[some], limit, best, together)
+        for some, together in ((np.flatnonzero(own & ~few), 1), (np.flatnonzero(own & few), 16)):
+            for part in np.array_split(some, max(1, -(-len(some) * together // POINTS))):
+                _points(item[part], doc[part], weight[part], limit, best, together)
         todo &= np.isinf(best).any(axis=1)
         limit[todo] *= 2
     return best.view(_U), total
@@ -256,7 +261,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = _keyed(docs, id_col, text_col)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices_of(batches, "text", 2 << 20):
+        for batch in slices_of(batches, "text", SIGN_BYTES):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 signature, total = signatures(raw_utf8(part.column(1)))
@@ -273,11 +278,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
     order = F.struct(F.xxhash64("rep", "bucket"), F.col("rep").alias("rep"))
-    several = (
+    # Written, so that the join below is dealt anew and a hot bucket can be split there.
+    several = materialise(
         exploded.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min(order)["rep"].alias("centre"))
         .where("n > 1")
-        .withColumnRenamed("bucket", "b")
+        .withColumnRenamed("bucket", "b"),
+        "buckets",
     )
     members = materialise(exploded.join(several, F.col("bucket") == F.col("b")).select("bucket", "n", "centre", "rep"), "members")
     wanted = members.select("rep").distinct().join(reps.select("rep", "key"), "rep").select("rep", F.col("key").alias("k"))
@@ -291,7 +298,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = [_verify_stars(first, texts, similarity)]
     found = _labelled(members, links)
     rest = found.where("label <> centre_label").select("centre", "rep").distinct().join(first, ["centre", "rep"], "left_anti")
-    links.append(_verify_stars(materialise(rest, "stars"), texts, similarity))
+    rest = materialise(rest, "stars")
+    links.append(_verify_stars(rest, texts, similarity))
+    release(found)
     found = _labelled(members, links)
     sizes = found.where("n > 2").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
@@ -311,7 +320,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .select("k", F.coalesce("component", "rep").alias("class_id"))
     )
     out = materialise(signed.select("id", "key").join(named, F.col("key") == F.col("k"), "left").select("id", "key", "class_id"), "classes")
-    release(signed, reps, members, texts, first, left, *links)
+    release(signed, reps, several, members, texts, first, rest, found, left, *links)
     return out
 
 
@@ -323,11 +332,12 @@ def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     groups = components(both, a="centre", b="rep")
     own = groups.select(F.col("node").alias("n1"), F.col("component").alias("c1"))
     theirs = groups.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-    return (
+    out = (
         members.join(own, F.col("rep") == F.col("n1"), "left")
         .join(theirs, F.col("centre") == F.col("n2"), "left")
         .select("bucket", "n", "centre", "rep", F.coalesce("c1", "rep").alias("label"), F.coalesce("c2", "centre").alias("centre_label"))
     )
+    return materialise(out, "labelled")
 
 
 def _verify_stars(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

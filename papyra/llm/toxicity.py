@@ -31,7 +31,7 @@ FOLDS = 5
 #: Bytes of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 60_000
 
 #: Category and the column that holds 1 for it, in the order of the chain.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -277,6 +277,7 @@ def score(docs: DataFrame, model: Chain, *, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "__p"]
             )
+        model.seen.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
 
