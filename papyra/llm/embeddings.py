@@ -28,11 +28,15 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.99
 #: Cells a query visits at least, whatever the calibration says.
 LEAST_VISITS = 8
-#: Rows that codebooks are fitted on, and queries that the traversal is calibrated with, at most.
+#: Share of made-up neighbours, at the threshold exactly, whose cells a query must visit.
+NEIGHBOUR_RECALL = 0.93
+#: Rows that codebooks are fitted on, at most, and queries that the traversal is calibrated with: the second number
+#: where the first meets fewer than LEAST_LINKS links.
 FIT_ROWS = 32_768
-CALIBRATION_ROWS = 256
+CALIBRATION_ROWS = (256, 4096)
+LEAST_LINKS = 1000
 #: Vectors a cell should hold, and codewords of a half at most.
-CELL_ROWS = 32
+CELL_ROWS = 256
 MOST_CODEWORDS = 1024
 #: Vectors in one block of a cell, and blocks of queries' size in multiples of that.
 BLOCK_ROWS = 2048
@@ -109,45 +113,102 @@ def _vectors(column: pa.Array, dtype: np.dtype, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), dim)
 
 
+def _sample(rows: DataFrame, salt: int, n: int, dtype: np.dtype, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the ``n`` rows with the smallest hashes, whatever the partitions."""
+    found = rows.orderBy(F.xxhash64("rep", F.lit(salt)), "rep").limit(n).select("rep", "vec").toArrow()
+    return found.column(0).to_numpy(), unit(_vectors(found.column(1).combine_chunks(), dtype, dim))
+
+
 def _fit(rows: DataFrame, n: int, dtype: np.dtype, dim: int, threshold: float, target: float) -> MultiIndex:
-    """Codebooks from the rows with the smallest hashes, visits from queries chosen likewise by another hash."""
+    """Codebooks from a sample, and the visits: what the links of sampled queries need, and what made-up neighbours need.
+
+    Queries are compared with all rows; where their links are few, more queries are. A table of few links says
+    little about the visits that these need, so every sampled query also gets neighbours of exactly the threshold's
+    cosine in random directions, the hardest links there are, and NEIGHBOUR_RECALL of them must be met. A link is
+    met from either end, so fewer are lost than that share says.
+    """
     k = int(min(MOST_CODEWORDS, max(1, np.ceil(np.sqrt(n / CELL_ROWS)))))
-    picked = rows.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("vec").toArrow().column(0).combine_chunks()
-    sample = unit(_vectors(picked, dtype, dim))
+    _, sample = _sample(rows, 0, FIT_ROWS, dtype, dim)
     half = dim // 2
     index = MultiIndex(codebook(sample[:, :half], k), codebook(sample[:, half:], k))
-    asked = rows.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(CALIBRATION_ROWS).select("rep", "vec").toArrow()
-    ids = np.array(asked.column(0).to_pylist(), np.int64)
-    queries = unit(_vectors(asked.column(1).combine_chunks(), dtype, dim))
-    q1, q2 = index.distances(queries)
-    grids = np.sort((q1[:, :, None] + q2[:, None, :]).reshape(len(queries), -1), axis=1) if len(index.first) <= 128 else None
-    shared = rows.sparkSession.sparkContext.broadcast((index, ids, queries, q1, q2, grids))
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, queries, q1, q2, grids = shared.value
+    found: dict[int, int] = {}
+    for queries in CALIBRATION_ROWS:
+        ids, asked = _sample(rows, 1, queries, dtype, dim)
+        found = _link_ranks(rows, index, ids, asked, dtype, dim, threshold)
+        if sum(found.values()) >= LEAST_LINKS or queries >= n:
+            break
+    made = neighbour_ranks(index, asked[: CALIBRATION_ROWS[0]], threshold)
+    index.visits = max(LEAST_VISITS, _quantile(found, target), _quantile(made, NEIGHBOUR_RECALL))
+    return index
+
+
+def _quantile(ranks: dict[int, int], share: float) -> int:
+    """The smallest rank that holds ``share`` of the counts; 0 of nothing."""
+    need, so_far = share * sum(ranks.values()), 0
+    for rank in sorted(ranks):
+        so_far += ranks[rank]
+        if so_far >= need:
+            return rank
+    return 0
+
+
+class _Ranks:
+    """How many cells of a query lie no further off than a given one: two sorted halves, not the grid of all sums."""
+
+    def __init__(self, index: MultiIndex, queries: np.ndarray):
+        self.first, self.second = index.distances(queries)
+        self.ordered = np.sort(self.second, axis=1)
+        self.known: dict[tuple[int, int, int], int] = {}
+
+    def of(self, q: int, i: int, j: int) -> int:
+        key = (q, i, j)
+        if key not in self.known:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            at = self.first[q, i] + self.second[q, j]
+            self.known[key] = max(1, int(np.searchsorted(self.ordered[q], at - self.first[q] + 1e-12, side="right").sum()))
+        return self.known[key]
+
+
+def neighbour_ranks(index: MultiIndex, queries: np.ndarray, cosine: float, each: int = 8) -> dict[int, int]:
+    """Ranks of the home cells of made-up vectors at this cosine to the queries, and how many have them."""
+    random, ranks = np.random.default_rng(7), _Ranks(index, queries)
+    found: dict[int, int] = {}
+    for _ in range(each if queries.shape[1] > 1 else 0):
+        off = random.normal(size=queries.shape)
+        off -= (off * queries).sum(1, keepdims=True) * queries
+        off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+        d1, d2 = index.distances(cosine * queries + np.sqrt(max(0.0, 1 - cosine * cosine)) * off)
+        for q, (i, j) in enumerate(zip(d1.argmin(1).tolist(), d2.argmin(1).tolist())):
+            rank = ranks.of(q, i, j)
+            found[rank] = found.get(rank, 0) + 1
+    return found
+
+
+def _link_ranks(rows: DataFrame, index: MultiIndex, ids: np.ndarray, queries: np.ndarray, dtype: np.dtype, dim: int, threshold: float) -> dict[int, int]:
+    """Ranks of the home cells of all vectors linked to the queries, and how many have them."""
+    shared = rows.sparkSession.sparkContext.broadcast((index, ids, queries))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, queries = shared.value
+        ranks = _Ranks(index, queries)
         found: dict[int, int] = {}
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
             units = unit(_vectors(batch.column(1), dtype, dim))
             linked = (queries @ units.T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None])
+            q, x = np.nonzero(linked)
             d1, d2 = index.distances(units)
-            i, j = d1.argmin(1), d2.argmin(1)
-            for q, x in zip(*np.nonzero(linked)):
-                at = q1[q, i[x]] + q2[q, j[x]]
-                grid = grids[q] if grids is not None else np.sort((q1[q][:, None] + q2[q][None]).ravel())
-                rank = int(np.searchsorted(grid, at, side="right"))
-                found[rank] = found.get(rank, 0) + 1
+            cells = np.stack([q, d1.argmin(1)[x], d2.argmin(1)[x]])
+            for (q, i, j), n in zip(*(a.tolist() for a in np.unique(cells.T, axis=0, return_counts=True))):
+                rank = ranks.of(q, i, j)
+                found[rank] = found.get(rank, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["rank", "n"])
 
-    by_rank = rows.select("rep", "vec").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, so_far = sum(r["n"] for r in by_rank), 0
-    for r in by_rank:
-        so_far += r["n"]
-        index.visits = max(LEAST_VISITS, r["rank"])
-        if so_far >= target * total:
-            break
-    return index
+    by_rank = rows.select("rep", "vec").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
+    return {r["rank"]: r["n"] for r in by_rank}
 
 
 def near_duplicates(
@@ -160,28 +221,24 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``vectors``: id_col, n_links, component_id, kept.
 
-    Null and zero vectors, those with null or non-finite components, and those of another than the most
-    frequent length, link with nothing, equal ones included. A repeated id stands for its smallest vector. Rows
-    with a null id come back with no links, a null component and kept false.
+    Null, empty and zero vectors, and those with null or non-finite components, link with nothing, equal ones
+    included. Vectors of different lengths do not link; every length has an index of its own. A repeated id stands
+    for its smallest vector. Rows with a null id come back with no links, a null component and kept false.
     """
-    spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     kind = given.schema["v"].dataType.elementType.simpleString()
     double = kind != "float"
     dtype = np.dtype("<f8" if double else "<f4")
     given = given.withColumn("v", F.col("v").cast("array<double>" if double else "array<float>"))
-    size = given.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    nothing = given.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if size is None:
-        return nothing
-    dim = size["n"]
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = given.where(F.col("id").isNotNull() & (F.size("v") == dim) & finite & F.exists("v", lambda x: x != 0))
+    usable = given.where(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype) + 0  # -0.0 becomes 0.0
-            rows = [data[k : k + dim].tobytes() for k in range(0, len(data), dim)]
+        for batch in slices(batches):
+            edges = batch.column(1).offsets.to_numpy()
+            data = (batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype) + 0).tobytes()  # -0.0 becomes 0.0
+            edges = ((edges - edges[0]) * dtype.itemsize).tolist()
+            rows = [data[a:b] for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "vec"])
 
     one_each = usable.groupBy("id").agg(F.min("v").alias("v"))
@@ -189,11 +246,17 @@ def near_duplicates(
     classes = materialise(
         packed.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("rep", "weight", "vec"), "classes"
     )
-    n = classes.count()
-    if not n:
-        return nothing
-    index = _fit(classes, n, dtype, dim, threshold, target_recall)
-    links, roots = _links(classes, index, dtype, dim, threshold)
+    spark = vectors.sparkSession
+    links = spark.createDataFrame([], "rep long, n_links long")
+    roots = spark.createDataFrame([], "rep long, root long")
+    made = [packed, classes]
+    for size, n in classes.groupBy(F.octet_length("vec").alias("size")).count().where("count > 1").orderBy("size").collect():
+        rows, dim = classes.where(F.octet_length("vec") == size), size // dtype.itemsize
+        index = _fit(rows, n, dtype, dim, threshold, target_recall)
+        found = _links(rows, index, dtype, dim, threshold)
+        made.append(found)
+        links = links.union(found.groupBy("rep").agg(F.sum("n").alias("n_links")))
+        roots = roots.union(found.where("root is not null and root <> rep").select("rep", "root").distinct())
     grouped = components(roots, a="rep", b="root")
     by_class = (
         classes.select("rep", "weight", F.col("vec").alias("key"))
@@ -206,7 +269,7 @@ def near_duplicates(
         )
     )
     found = packed.join(by_class, F.col("vec") == F.col("key")).select(F.col("id").alias("known"), F.col("n_links").alias("n"), "component_id")
-    return (
+    out = (
         given.select("id")
         .join(found, F.col("id") == F.col("known"), "left")
         .select(
@@ -216,10 +279,13 @@ def near_duplicates(
             F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),
         )
     )
+    out = materialise(out, "near-vectors")
+    release(*made)
+    return out
 
 
-def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Weighted numbers of links (rep, n_links), and links (rep, root) that connect whatever is linked."""
+def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, threshold: float) -> DataFrame:
+    """(rep, n, root): weighted numbers of links, to be summed by rep, and links that connect whatever is linked."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(index)
 
@@ -232,18 +298,15 @@ def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, thr
 
     placed = materialise(classes.mapInArrow(place, "rep long, weight long, vec binary, cells array<long>"), "placed")
     home = F.element_at("cells", 1)
-    # At most one row per cell of the grid, whose size is bounded by MOST_CODEWORDS squared.
-    large = {
-        r["cell"]: -(-r["n"] // BLOCK_ROWS)
-        for r in placed.groupBy(home.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).collect()
-    }
-    blocks = F.lit(1)
-    for cell_blocks in sorted(set(large.values())):
-        blocks = F.when(F.col("cell").isin([c for c, b in large.items() if b == cell_blocks]), cell_blocks).otherwise(blocks)
+    # At most one row per cell of the grid, whose size is bounded by MOST_CODEWORDS squared: that allows the broadcasts.
+    large = placed.groupBy(home.alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+    large = F.broadcast(materialise(large, "large-cells"))
+    blocks = F.coalesce("blocks", F.lit(1))
     query_blocks = F.ceil(blocks / QUERY_BLOCKS).cast("int")
     zero = F.lit(0)
     rows = (
         placed.withColumn("cell", home)
+        .join(large, F.col("cell") == F.col("of"), "left")
         .withColumn("ib", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("qb", F.explode(F.sequence(zero, query_blocks - 1)))
         .select("cell", "ib", "qb", zero.alias("kind"), "rep", "weight", "vec", "cells")
@@ -251,6 +314,7 @@ def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, thr
     queries = (
         placed.withColumn("home", home)
         .withColumn("cell", F.explode("cells"))
+        .join(large, F.col("cell") == F.col("of"), "left")
         .withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(7)), query_blocks).cast("int"))
         .withColumn("ib", F.explode(F.sequence(zero, blocks - 1)))
         .select("cell", "ib", "qb", F.lit(1).alias("kind"), "rep", "weight", "vec", F.array("home").alias("cells"))
@@ -281,8 +345,7 @@ def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, thr
 
     found = materialise(dealt.mapInArrow(compare, "rep long, n long, root long"), "block-links")
     release(placed)
-    links = found.groupBy("rep").agg(F.sum("n").alias("n_links"))
-    return links, found.where("root is not null and root <> rep").select("rep", "root").distinct()
+    return found
 
 
 class _Block:

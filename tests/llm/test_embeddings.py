@@ -92,6 +92,43 @@ def test_empty_table(spark):
     assert [tuple(r) for r in E.near_duplicates(only_null).collect()] == [(1, 0, 1, True)]
 
 
+def test_every_length_is_compared(spark):
+    v = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+    rows = [(1, v), (2, v[:4]), (3, [2 * x for x in v[:4]]), (4, v), (5, v[:3]), (6, [1.0]), (7, [2.0]), (8, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in collect(spark, rows)}
+    assert got == {1: (1, 1), 4: (1, 1), 2: (1, 2), 3: (1, 2), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+@pytest.mark.parametrize(("codewords", "least"), [(4, 0.9), (16, 0.9), (40, 0.9)])
+def test_recall_of_sparse_links(spark, monkeypatch, codewords, least):
+    """Links just above the threshold, too few for the sampled queries to meet."""
+    n, planted = 6000, 150
+    monkeypatch.setattr(E, "CELL_ROWS", n / codewords**2)
+    monkeypatch.setattr(E, "CALIBRATION_ROWS", (64, 128))
+    r = np.random.default_rng(codewords)
+    v = E.unit(r.normal(size=(n, 64)))
+    off = r.normal(size=(planted, 64))
+    off -= (off * v[:planted]).sum(1, keepdims=True) * v[:planted]
+    cosine = r.uniform(0.901, 0.93, size=(planted, 1))
+    near = cosine * v[:planted] + np.sqrt(1 - cosine**2) * E.unit(off)
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([v, near]))]
+    got = sum(x.n_links for x in collect(spark, rows))
+    u = np.concatenate([v, near])
+    true = int((u @ u.T >= 0.9).sum()) - len(u)
+    assert true >= 2 * planted and least * true <= got <= true
+
+
+def test_ranks_without_the_grid():
+    r = np.random.default_rng(3)
+    index = E.MultiIndex(r.normal(size=(7, 4)), r.normal(size=(5, 4)))
+    queries = r.normal(size=(6, 8))
+    ranks = E._Ranks(index, queries)
+    d1, d2 = index.distances(queries)
+    for q in range(6):
+        order = E.multi_sequence(d1[q], d2[q], 35)
+        assert [ranks.of(q, i, j) for i, j in order] == list(range(1, 36))
+
+
 def test_traversal_is_in_rising_order():
     r = np.random.default_rng(0)
     a, b = r.random(9), r.random(7)
