@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
 from papyra.llm import decontaminate as D
@@ -58,6 +60,46 @@ def test_blocks_give_the_same(tables):
     assert rows(D.report(*tables, block_bytes=40)) == brute(DOCS, ITEMS)
 
 
+def test_items_without_an_id_count_and_are_not_listed(spark, make_docs):
+    items = spark.createDataFrame([(None, "quick brown fox"), (None, "nothing of it"), (5, "brown fox")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items) for r in D.report(make_docs([(1, "a quick brown fox"), (2, "none")]), items).collect()}
+    assert got == {1: (3, 2, ["5"]), 2: (0, 0, [])}
+
+
+def test_words_of_every_length():
+    r = random.Random(5)
+    texts = ["".join(r.choice("abAB é.,\n09") for _ in range(r.randint(0, 90))).encode() for _ in range(200)] + [b"", b"x" * 70 + b" y", b"..."]
+    found = D.Words(texts)
+    for k, t in enumerate(texts):
+        own = [found.data[a:b] for a, b in zip(found.starts[found.first[k] : found.first[k + 1]], found.ends[found.first[k] : found.first[k + 1]])]
+        assert own == [w.encode() for w in words(t.decode())]
+    by_hash = {}
+    for h, a, b in zip(found.hashes.tolist(), found.starts, found.ends):
+        assert by_hash.setdefault(h, found.data[a:b]) == found.data[a:b]
+    assert len(by_hash) == len({found.data[a:b] for a, b in zip(found.starts, found.ends)})
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """Hashes of few values: no seed keeps windows apart, and proposals of a document are refused word by word."""
+    real = D.Words._hash
+    monkeypatch.setattr(D.Words, "_hash", lambda self, data, seed: real(self, data, seed) % np.uint64(3))
+    with pytest.raises(ValueError):
+        D.WindowIndex([(k, f"w{k} v{k} u{k}") for k in range(200)], 2)
+    monkeypatch.setattr(D.Words, "windows", lambda self, size: (np.zeros(max(0, len(self.hashes) - size + 1), np.uint64), np.ones(max(0, len(self.hashes) - size + 1), bool)))
+    index = D.WindowIndex([(1, "quick fox")], 2)
+    assert index.scan([b"a quick fox and a quick dog"])[0] == (7, [(1, 3)], {0})
+
+
+def test_index_is_compact():
+    """Bytes that a worker holds per byte of benchmark text."""
+    import pickle
+
+    r = random.Random(2)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(200_000))
+    items = [(k, text[k * 1000 : k * 1000 + 1000]) for k in range(len(text) // 1000)]
+    assert len(pickle.dumps(D.WindowIndex(items))) < 8 * len(text)
+
+
 def test_empty_tables(spark, make_docs, tables):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(D.report(tables[0], none)) == brute(DOCS, [])
