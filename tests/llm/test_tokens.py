@@ -153,3 +153,25 @@ def test_padding_of_the_given_table(spark, sf_dir):
 
     docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert check_packed(P.op9(spark, sf_dir).collect(), docs) < 0.03
+
+
+def test_shards_by_size_not_by_session(spark, make_docs, tmp_path):
+    """Equal and missing ids fill several shards; a text longer than a frame comes back whole."""
+    rows = [(7, f"text {k} " * 40) for k in range(60)] + [(None, f"no id {k} " * 40) for k in range(30)] + [(1, "long words here " * 40_000), (9, None)]
+    got = {}
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            folder = f"file://{tmp_path}/{parts}"
+            manifest = S.write_shards(make_docs(rows), folder, shard_bytes=4096)
+            assert manifest.count() > 20
+            found = S.read_shards(spark, manifest, folder).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        starts = sorted((r.start, r.n_tokens) for r in found)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0 and len(starts) == len(rows)
+        order = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+        assert order == [None] * 30 + [1] + [7] * 60 + [9]
+        got[parts] = sorted((r.n_tokens, r.ids_crc32) for r in found)
+        assert max(r.n_tokens for r in found) * 2 > S.FRAME_BYTES
+    assert got[1] == got[5]
