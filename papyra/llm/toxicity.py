@@ -33,7 +33,9 @@ BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker remembers.
 CACHE_WORDS = 60_000
 
-#: Category and the column that holds 1 for it, in the order of the chain.
+#: Category and the expression that is 1 for it, in the order of the chain. The labels know one category of toxicity
+#: only; what else they know, low quality, comes before it as the category that toxic texts often share. Labels with
+#: more categories are given as a longer chain.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 
 
@@ -193,7 +195,7 @@ def fit_chain(
         vocabulary = {f: i for i, f in enumerate(sorted(keys))}
     model = Chain(names, vocabulary, np.zeros((len(names), len(vocabulary))), np.full(len(names), -40.0), np.zeros((len(names), len(names))), np.full(len(names), 0.5))
     if n_all:
-        _fit_all(model, *_matrix(sample, model, ys))
+        _fit_all(docs.sparkSession, model, *_matrix(sample, model, ys))
     release(sample)
     return model
 
@@ -227,26 +229,52 @@ def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[np.ndarray,
     return row, index, labels
 
 
-def _fit_all(model: Chain, row: np.ndarray, index: np.ndarray, labels: np.ndarray) -> None:
-    """Fit category after category; folds are taken by position in the sorted sample."""
+def _fit_all(spark: SparkSession, model: Chain, row: np.ndarray, index: np.ndarray, labels: np.ndarray) -> None:
+    """Fit category after category; folds are taken by position in the sorted sample.
+
+    The model of a category and those of its folds are fitted in as many tasks. What these share is the sample's
+    matrix, bounded by the number of sampled rows and of features.
+    """
     n, width = len(labels), len(model.vocabulary)
-    fold = np.arange(n) % FOLDS
+    matrix = spark.sparkContext.broadcast((row, index, labels))
     earlier = np.zeros((n, 0))
     for k in range(len(model.names)):
-        y = labels[:, k].astype(float)
-        w, b, links = _fit(row, index, width, earlier, y)
-        model.weights[k], model.bias[k] = w, b
-        model.links[k, :k] = links
+        before = spark.sparkContext.broadcast(earlier)
+        fits = _fold_fits(spark, matrix, before, k, width)
+        before.destroy()
         out = np.zeros(n)
-        for f in range(FOLDS):
-            own, rest = fold == f, fold != f
-            renumber = np.cumsum(rest) - 1
-            used = rest[row]
-            w, b, links = _fit(renumber[row[used]], index[used], width, earlier[rest], y[rest])
-            score = np.bincount(row, w[index], n) + earlier @ links + b
-            out[own] = _sigmoid(score)[own]
-        model.thresholds[k] = _best_threshold(out, y)
+        for fold, w, b, links, p in fits:
+            if fold < 0:
+                model.weights[k], model.bias[k] = np.frombuffer(w), b
+                model.links[k, :k] = links
+            else:
+                out[fold::FOLDS] = np.frombuffer(p)
+        model.thresholds[k] = _best_threshold(out, labels[:, k].astype(float))
         earlier = np.column_stack([earlier, out])
+    matrix.destroy()
+
+
+def _fold_fits(spark: SparkSession, matrix, before, k: int, width: int) -> list[tuple]:
+    """(fold, weights, intercept, links, predictions of the fold's rows) of category ``k``; fold -1 is the whole sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, index, labels = matrix.value
+        earlier, y, n = before.value, labels[:, k].astype(float), len(labels)
+        for batch in batches:
+            for fold in batch.column(0).to_pylist():
+                rest = np.arange(n) % FOLDS != fold
+                used = rest[row]
+                w, b, links = _fit((np.cumsum(rest) - 1)[row[used]], index[used], width, earlier[rest], y[rest])
+                score = np.bincount(row, w[index], n) + earlier @ links + b
+                p = _sigmoid(score)[~rest]
+                yield pa.RecordBatch.from_pydict(
+                    {"fold": [fold], "w": [w.tobytes()], "b": [b], "links": [links.tolist()], "p": [p.tobytes()]},
+                    pa.schema([("fold", pa.int64()), ("w", pa.binary()), ("b", pa.float64()), ("links", pa.list_(pa.float64())), ("p", pa.binary())]),
+                )
+
+    tasks = spark.range(-1, FOLDS, 1, FOLDS + 1)
+    found = tasks.mapInArrow(run, "fold long, w binary, b double, links array<double>, p binary").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns)))
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
