@@ -5,7 +5,7 @@ from papyra.llm import toxicity
 from papyra.llm._common import table
 
 from .test_decontaminate import brute as contaminated
-from .test_line_dedup import brute as chunks
+from .test_line_dedup import brute_runs as runs
 from .test_minhash import brute as near
 from .test_tokens import check_packed
 
@@ -37,21 +37,10 @@ def test_toxicity_stage(spark, sf_dir, stages):
 
 
 def test_line_stage(stages):
-    before, after = pairs(stages[1]), dict(pairs(stages[2]))
-    first = {k: min((x[1], x[3]) for x in v) for k, v in chunks(before).items()}
-    lost = {}
-    for k, v in chunks(before).items():
-        for _, i, t, a, b in v:
-            if (i, a) != first[k]:
-                lost.setdefault(i, []).append((a, b))
-    for i, t in before:
-        n = sum(b - a for a, b in lost.get(i, []))
-        if n and 2 * n >= len(t.encode()):
-            assert i not in after
-        elif n:
-            assert len(after[i].encode()) <= len(t.encode()) - n
-        else:
-            assert after[i] == t
+    """Repeated runs are cut; documents with nothing left go."""
+    before = pairs(stages[1])
+    want = {i: t for (i, _), t in runs(before).items() if t.strip() or t == dict(before)[i]}
+    assert dict(pairs(stages[2])) == want and any(t != dict(before)[i] for i, t in want.items())
 
 
 def test_near_dedup_stage(stages):
@@ -72,3 +61,58 @@ def test_packing_stage(stages):
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, C.run(spark, sf_dir).select(*key).collect())) == sorted(map(tuple, stages[5].select(*key).collect()))
+
+
+BENCHMARK = "one two three four five six seven eight nine ten eleven"
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    """Labels and a benchmark for documents made up here."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    bad = [(1000 + k, 1, int(k % 3 == 0)) for k in range(60)]
+    spark.createDataFrame(bad, "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    spark.createDataFrame([(1, BENCHMARK), (2, None)], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    return folder
+
+
+def labelled(prose):
+    return [(1000 + k, prose(5000 + k, 60) + (" scumbag scumbag idiotic" if k % 3 == 0 else "")) for k in range(60)]
+
+
+def through(spark, df, folder):
+    out = []
+    for _, stage in C.STAGES:
+        df = C.materialise(stage(spark, df, folder), "test-stage")
+        out.append(df)
+    return out
+
+
+def test_odd_documents(spark, make_docs, prose, odd_dir):
+    """Nulls, empty and very long texts, repeated ids and rows, ties, columns with clashing names."""
+    long = prose(1, 60_000)
+    copy = prose(2, 300)
+    rows = [
+        (1, None), (1, None), (2, ""), (3, long), (4, copy), (4, copy), (5, copy), (None, prose(3, 50)), (None, None), (6, "short"), (7, prose(4, 80) + " " + BENCHMARK),
+        (8, prose(6, 40)), (8, prose(7, 40)), (9, "\n\n"), (10, prose(8, 30) + " scumbag scumbag idiotic " + prose(9, 30)), *labelled(prose),
+    ]
+    df = make_docs(rows)
+    stages = through(spark, df, odd_dir)
+    for s in stages[:-1]:
+        assert s.columns == df.columns
+    ids = [{r.doc_id for r in s.collect()} for s in stages]
+    assert 10 not in ids[0] and not {1000, 1003} & ids[0] and {1001, 1, 2, 3, None} <= ids[0]
+    # Null, empty and blank texts stay: nothing was cut from them. The second copy has nothing left.
+    assert {1, 2, 9, 4} <= ids[1] and 5 not in ids[1]
+    assert 3 in ids[2] and {4, 6, 8} <= ids[2] and len(ids[2] & {1, 2}) == 1
+    assert ids[3] == ids[2] - {7}
+    packed = stages[4].collect()
+    kept = [(r.doc_id, r.text) for r in stages[3].collect()]
+    assert {r.doc_id for r in packed} == ids[3] and all(0 < r.length <= 2048 for r in packed)
+    # One end id for every document, and its tokens once each.
+    assert sum(r.start + r.length == r.doc_tokens for r in packed) == len(kept)
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start + r.length == r.doc_tokens)
+
+
+def test_no_documents(spark, make_docs, odd_dir):
+    assert [s.count() for s in through(spark, make_docs([]), odd_dir)] == [0] * 5
