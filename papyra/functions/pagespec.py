@@ -71,6 +71,17 @@ def select_pages(spec: str | None, total: Column) -> Column:
     return F.concat(*parts)
 
 
+def page_numbers(spec: str | None, total: int) -> list[int]:
+    """Selected page numbers, in order, of one document of ``total`` pages."""
+    out: list[int] = []
+    for s in parse(spec or "all"):
+        start, end = (total if x == LAST else x for x in (s.start, s.end))
+        if total < 1 or (s.step == 1 and max(start, end) > total):
+            raise ValueError(f"page out of range in '{spec or 'all'}': the document has {total}")
+        out += range(start, end + 1, s.step) if start <= end or s.step == 2 else range(start, end - 1, -1)
+    return out
+
+
 def apply_spec(pages: DataFrame, spec: str | None, *, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """``pages`` picked by a spec, with ``pos``, the place in the selection, from 1. Repeated pages repeat.
 

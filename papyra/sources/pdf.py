@@ -2,8 +2,9 @@
 
 It reads classic and stream cross-references, object streams, Flate with predictors, and files whose cross-reference
 is damaged, which it rebuilds by scanning for objects. Text positions come from the content streams and the widths
-stated by the fonts, or Helvetica's. Encrypted files, pixels and other codecs are beyond it: what needs them raises
-``Unsupported``. Everything read is bounded, so that a hostile file costs an error and no memory.
+stated by the fonts, or Helvetica's. Files protected by the standard handler open with their password. Pixels and
+other codecs are beyond it: what needs them raises ``Unsupported``. Everything read is bounded, so that a hostile
+file costs an error and no memory.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 from ..functions.text import HELVETICA, UNKNOWN_WIDTH
+from .crypt import Security, WrongPassword
 
 #: Bounds on what one file may cost.
 MOST_BYTES_OF_STREAM = 256 << 20
@@ -181,23 +183,34 @@ class Word:
     size: float
     font: str
     invisible: bool = False
+    bold: bool = False
+    italic: bool = False
+    #: What the glyphs read as, where other text is stated for them.
+    drawn: str | None = None
+    #: Per glyph its place in the text, its own text and its box.
+    parts: list[tuple[int, str, list[float]]] = field(default_factory=list)
+    start: tuple[float, float] = (0.0, 0.0)
+    end: tuple[float, float] = (0.0, 0.0)
 
 
 @dataclass
 class Layout:
-    """Words in drawing order and straight rules (horizontal, at, from, to) of a page."""
+    """Words in drawing order, straight rules (horizontal, at, from, to) and images (key, stream, box) of a page."""
 
     width: float
     height: float
     words: list[Word] = field(default_factory=list)
     rules: list[tuple[bool, float, float, float]] = field(default_factory=list)
+    images: list[tuple[Any, Stream, list[float]]] = field(default_factory=list)
 
 
 class Pdf:
-    """A parsed file. ``repaired`` says that its cross-reference was rebuilt."""
+    """A parsed file. ``repaired`` says that its cross-reference was rebuilt, ``security`` how it is encrypted."""
 
-    def __init__(self, data: bytes):
-        self.data = data
+    def __init__(self, data: bytes, password: str = ""):
+        self.data, self.password = data, password
+        self.security: Security | None = None
+        self.encrypt_ref: Any = None
         self.entries: dict[int, tuple[int, int] | tuple[str, int, int]] = {}
         self.trailer: dict[str, Any] = {}
         self.cache: dict[int, Any] = {}
@@ -211,12 +224,46 @@ class Pdf:
         try:
             starts = re.findall(rb"startxref\s+(\d+)", data[-2048:])
             self._read_xref(int(starts[-1]) + at, set())
+            self._unlock()
             if "Root" not in self.trailer or not isinstance(self.get(self.trailer["Root"]), dict) or not self.pages():
                 raise Damaged("no page tree")
-        except (Damaged, IndexError, ValueError, RecursionError, TypeError, AttributeError):
+        except WrongPassword:
+            raise
+        except (Damaged, IndexError, KeyError, ValueError, RecursionError, TypeError, AttributeError):
             self._rebuild()
-        if "Encrypt" in self.trailer:
-            raise Unsupported("encrypted: not available in this build")
+
+    def _unlock(self) -> None:
+        """Set up decryption where the trailer asks for it; what was read before is read again."""
+        self.encrypt_ref = self.trailer.get("Encrypt")
+        info = self.get(self.encrypt_ref)
+        if info is None or self.security:
+            return
+        if not isinstance(info, dict):
+            raise WrongPassword("encrypted: the file does not say how")
+        plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else self.get(x)
+        parts = self.get(self.trailer.get("ID"))
+        first = self.get(parts[0]) if isinstance(parts, list) and parts else b""
+        try:
+            self.security = Security.open(plain(info), first if isinstance(first, bytes) else b"", self.password)
+        except (KeyError, TypeError, IndexError) as error:
+            raise WrongPassword("encrypted: the file does not say how") from error
+        self.cache.clear()
+        self.object_streams.clear()
+
+    def _decrypted(self, x: Any, number: int, generation: int) -> Any:
+        if isinstance(x, bytes):
+            return self.security.decrypt(x, number, generation, stream=False)
+        if isinstance(x, list):
+            return [self._decrypted(y, number, generation) for y in x]
+        if isinstance(x, dict):
+            return {k: self._decrypted(v, number, generation) for k, v in x.items()}
+        if isinstance(x, Stream):
+            kind = x.info.get("Type")
+            if kind == "XRef" or kind == "Metadata" and not self.security.encrypt_metadata:
+                return x
+            info = {k: self._decrypted(v, number, generation) for k, v in x.info.items()}
+            return Stream(info, self.security.decrypt(x.raw, number, generation, stream=True))
+        return x
 
     def _read_xref(self, at: int, seen: set[int]) -> None:
         if at in seen or at >= len(self.data) or len(seen) > 4096:
@@ -278,6 +325,7 @@ class Pdf:
             self.entries[int(m[1])] = (m.start(), int(m[2]))
             if len(self.entries) > MOST_OBJECTS:
                 raise Damaged("too many objects")
+        self.security = None
         for m in re.finditer(rb"\btrailer\b", self.data):
             try:
                 found = Lexer(self.data, m.end()).next()
@@ -285,6 +333,10 @@ class Pdf:
                 continue
             if isinstance(found, dict):
                 self.trailer.update(found)
+        for number in list(self.entries):
+            if isinstance(x := self._quietly(number), Stream) and x.info.get("Type") == "XRef":
+                self.trailer.update({k: v for k, v in x.info.items() if k in ("Root", "Info", "Encrypt", "ID")})
+        self._unlock()
         for number in list(self.entries):
             try:
                 x = self.get(Ref(number, 0))
@@ -354,6 +406,8 @@ class Pdf:
                     number, value = self._object_at(entry[0])
                     if number != x.number:
                         raise Damaged(f"object {x.number} is not where it should be")
+                    if self.security and not (isinstance(self.encrypt_ref, Ref) and self.encrypt_ref.number == number):
+                        value = self._decrypted(value, number, entry[1])
                     self.cache[x.number] = value
             x = self.cache[x.number]
         return x
@@ -528,7 +582,9 @@ class Pdf:
         return out
 
     def annotations(self) -> list[dict[str, Any]]:
-        """Annotations but widgets and pop-ups."""
+        """Annotations but widgets and pop-ups; boxes with their origin at the top left of the upright page."""
+        from .pdf_text import bounds, visual_matrix
+
         pages = self.pages()
         numbers, names = {p.ref: p.number for p in pages if p.ref}, self.destinations()
         out = []
@@ -541,17 +597,21 @@ class Pdf:
                 action = action if isinstance(action, dict) else {}
                 target = a.get("Dest") if "Dest" in a else action.get("D") if action.get("S") == "GoTo" else None
                 box = self._box(a.get("Rect"))
+                matrix = visual_matrix(page)[0]
                 out.append(
                     {
-                        "page": page.number, "type": str(a.get("Subtype", "")), "rect": flip(box, page.box) if box else None,
+                        "page": page.number, "type": str(a.get("Subtype", "")).lower(), "rect": bounds(matrix, *box) if box else None,
                         "comment": text_string(self.get(a.get("Contents"))) or None, "author": text_string(self.get(a.get("T"))) or None,
                         "url": text_string(self.get(action.get("URI"))) or None, "target_page": self.target_page(target, numbers, names),
                     }
                 )
         return out
 
-    def fields(self) -> list[dict[str, Any]]:
-        """Form fields with inherited attributes and dotted names; the page is that of the first widget."""
+    def fields(self, *, places: bool = False) -> list[dict[str, Any]]:
+        """Form fields with inherited attributes and dotted names; the page is that of the first widget.
+
+        With ``places`` also the field's reference, its widgets, flags and default appearance.
+        """
         widgets: dict[Any, int] = {}
         for page in self.pages():
             for x in self.get(page.info.get("Annots")) or []:
@@ -572,7 +632,11 @@ class Pdf:
                 for k in named:
                     walk(k, name, own, depth + 1)
                 return
-            out.append(self._field(name, own, [x, *kids], widgets))
+            found = self._field(name, own, [x, *kids], widgets)
+            if places:
+                flags = self.get(own.get("Ff", 0))
+                found |= {"ref": x, "places": kids or [x], "flags": flags if isinstance(flags, int) else 0, "da": text_string(self.get(own.get("DA")))}
+            out.append(found)
 
         for x in self.get(form.get("Fields")) or [] if isinstance(form, dict) else []:
             walk(x, "", {}, 0)
@@ -601,6 +665,27 @@ class Pdf:
             "read_only": bool(flags & 1), "page": next((widgets[p] for p in places if isinstance(p, Ref) and p in widgets), None),
         }
 
+    def damage(self) -> str | None:
+        """Why the file cannot be written as it stands: what a strict reader of the cross-reference would lose."""
+        pages = self.pages()
+        if not pages:
+            return "its page tree could not be read"
+        root = self.get(self.catalog.get("Pages"))
+        count = self.get(root.get("Count")) if isinstance(root, dict) else None
+        if isinstance(count, int) and count != len(pages):
+            return f"{len(pages)} of its {count} pages could be read"
+        for page in pages:
+            for key in ("Contents", "Resources"):
+                found = page.info.get(key)
+                for x in found if isinstance(found, list) else [found]:
+                    if isinstance(x, Ref) and x.number not in self.entries:
+                        return f"objects of page {page.number} are missing"
+        for number in self.entries:
+            x = self._quietly(number)
+            if isinstance(x, Stream) and "Length" not in x.info:
+                return "a stream has no length"
+        return None
+
     def layout(self, page: Page) -> Layout:
         """Words and rules of a page."""
         from .pdf_text import interpret
@@ -623,11 +708,6 @@ def _salvage_flate(data: bytes) -> bytes:
     return bytes(out)
 
 
-def flip(box: list[float], page: list[float]) -> list[float]:
-    """A box of page space with its origin at the top left of the page."""
-    return [box[0] - page[0], page[3] - box[3], box[2] - page[0], page[3] - box[1]]
-
-
 def text_string(x: Any) -> str:
     """A text string: UTF-16 with a mark, UTF-8 with a mark, else one byte a character."""
     if isinstance(x, str):

@@ -1,16 +1,22 @@
-"""Writing PDF files: objects to bytes, and changes to the object graph of a file that was read.
+"""Writing PDF files: objects to bytes, plain or packed, protected or not, and copies of what a file's objects reach.
 
-A change builds a new graph from what the wanted pages reach, so objects that nothing reaches any more stay behind.
+Only what is reached is ever written, numbered from 1, so objects that nothing refers to any more stay behind and
+numbers are never sparse.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass, field
 from typing import Any
 
-from .pdf import INHERITED, Name, Page, Pdf, Ref, Stream, helvetica
+from .crypt import Security
+from .pdf import Name, Pdf, Ref, Stream, helvetica
+
+#: Objects in one object stream.
+PACKED = 200
 
 
 def encode_text(text: str) -> bytes:
@@ -68,30 +74,98 @@ class Writer:
             return self.add(Stream({**info, "Filter": Name("FlateDecode")}, packed))
         return self.add(Stream(info, data))
 
-    def finish(self, root: Ref, info: Ref | None = None) -> bytes:
-        out = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
-        offsets = []
-        for k, x in enumerate(self.objects):
+    def finish(self, root: Ref, info: Ref | None = None, *, security: Security | None = None, packed: bool = False, version: str = "1.7") -> bytes:
+        """The file. ``packed`` puts objects into object streams, which a protected file does not get."""
+        trailer: dict[str, Any] = {"Root": root} | ({"Info": info} if info else {})
+        head = b"%PDF-" + version.encode() + b"\n%\xe2\xe3\xcf\xd3\n"
+        if security:
+            return self._plain(head, trailer, security)
+        return self._packed(head, trailer) if packed else self._plain(head, trailer, None)
+
+    def _plain(self, head: bytes, trailer: dict[str, Any], security: Security | None) -> bytes:
+        out, offsets = bytearray(head), []
+        objects = list(self.objects)
+        if security:
+            objects = [_protected(x, k + 1, security) for k, x in enumerate(objects)]
+            objects.append(encryption(security))
+            mark = hashlib.md5(bytes(security.key) + b"%d" % len(objects)).digest()
+            trailer |= {"Encrypt": Ref(len(objects), 0), "ID": security.info.get("ID") or [mark, mark]}
+        for k, x in enumerate(objects):
             offsets.append(len(out))
             out += b"%d 0 obj\n" % (k + 1) + serialise(x) + b"\nendobj\n"
         at = len(out)
         out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(offsets) + 1)
         out += b"".join(b"%010d 00000 n \n" % o for o in offsets)
-        trailer = {"Size": len(offsets) + 1, "Root": root}
-        if info:
-            trailer["Info"] = info
-        return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
+        return bytes(out + b"trailer\n" + serialise({"Size": len(offsets) + 1, **trailer}) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
+
+    def _packed(self, head: bytes, trailer: dict[str, Any]) -> bytes:
+        out = bytearray(head)
+        rows: dict[int, tuple[int, int, int]] = {}
+        loose = [k + 1 for k, x in enumerate(self.objects) if not isinstance(x, Stream)]
+        last = len(self.objects)
+
+        def place(number: int, x: Any) -> None:
+            rows[number] = (1, len(out), 0)
+            out.extend(b"%d 0 obj\n" % number + serialise(x) + b"\nendobj\n")
+
+        for at in range(0, len(loose), PACKED):
+            group, last = loose[at : at + PACKED], last + 1
+            bodies = [serialise(self.objects[n - 1]) for n in group]
+            places, position = [], 0
+            for k, (n, body) in enumerate(zip(group, bodies)):
+                rows[n] = (2, last, k)
+                places.append(b"%d %d" % (n, position))
+                position += len(body) + 1
+            first = b" ".join(places) + b" "
+            place(last, Stream({"Type": Name("ObjStm"), "N": len(group), "First": len(first), "Filter": Name("FlateDecode")}, zlib.compress(first + b"\n".join(bodies), 9)))
+        for k, x in enumerate(self.objects):
+            if isinstance(x, Stream):
+                place(k + 1, x)
+        last, at = last + 1, len(out)
+        rows[last] = (1, at, 0)
+        table = b"".join(bytes([kind]) + a.to_bytes(4, "big") + b.to_bytes(2, "big") for kind, a, b in (rows.get(n, (0, 0, 0)) for n in range(last + 1)))
+        info = {"Type": Name("XRef"), "Size": last + 1, "W": [1, 4, 2], "Filter": Name("FlateDecode"), **trailer}
+        out += b"%d 0 obj\n" % last + serialise(Stream(info, zlib.compress(table, 9))) + b"\nendobj\n"
+        return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)
+
+
+def encryption(security: Security) -> dict[str, Any]:
+    """The encryption dictionary of a protection: as it was read, or that of a new one."""
+    if "Filter" in security.info:
+        return {k: Name(v) if isinstance(v, str) else v for k, v in security.info.items() if k != "ID"}
+    own = {"StdCF": {"Type": Name("CryptFilter"), "CFM": Name("AESV3"), "AuthEvent": Name("DocOpen"), "Length": 32}}
+    return {"Filter": Name("Standard"), "V": 5, "R": 6, "Length": 256, "CF": own, "StmF": Name("StdCF"), "StrF": Name("StdCF"), **security.info}
+
+
+def _protected(x: Any, number: int, security: Security) -> Any:
+    if isinstance(x, bytes):
+        return security.encrypt(x, number, 0, stream=False)
+    if isinstance(x, list):
+        return [_protected(y, number, security) for y in x]
+    if isinstance(x, dict):
+        return {k: _protected(v, number, security) for k, v in x.items()}
+    if isinstance(x, Stream):
+        info = {k: _protected(v, number, security) for k, v in x.info.items()}
+        plain = x.info.get("Type") == "Metadata" and not security.encrypt_metadata
+        return Stream(info, x.raw if plain else security.encrypt(x.raw, number, 0, stream=True))
+    return x
 
 
 class Copier:
-    """Copies what is reached from one file to a writer; references to pages that are not taken become null."""
+    """Copies what is reached from one file to a writer.
 
-    def __init__(self, pdf: Pdf, out: Writer):
+    References to pages that are not taken become null. A destination given by name is spelled out, since the names
+    stay behind; one whose page is not taken goes.
+    """
+
+    def __init__(self, pdf: Pdf, out: Writer, cut: set[int] | None = None):
         self.pdf, self.out = pdf, out
         self.done: dict[int, Ref] = {}
-        self.cut: set[int] = {p.ref.number for p in pdf.pages() if p.ref}
+        self.cut = cut or set()
+        self._names: dict[bytes, Any] | None = None
 
     def value(self, x: Any) -> Any:
+        """A copy of an object and of all it reaches."""
         todo: list[tuple[Ref, Any]] = []
         result = self._shallow(x, todo)
         while todo:
@@ -114,77 +188,42 @@ class Copier:
         if isinstance(x, list):
             return [self._shallow(y, todo) for y in x]
         if isinstance(x, dict):
-            return {k: self._shallow(y, todo) for k, y in x.items()}
+            return {k: self._shallow(self._destination(x, k, y), todo) for k, y in x.items()}
         if isinstance(x, Stream):
             return Stream({k: self._shallow(y, todo) for k, y in x.info.items() if k != "Length"}, x.raw)
         return x
 
-
-@dataclass
-class Taken:
-    """A page to take: from which file, with how many degrees more, and what is drawn over it."""
-
-    pdf: Pdf
-    page: Page
-    turn: int = 0
-    overlay: bytes = b""
+    def _destination(self, owner: dict[str, Any], key: str, x: Any) -> Any:
+        goes = key == "Dest" or key == "D" and self.pdf.get(owner.get("S")) == "GoTo"
+        target = self.pdf.get(x) if goes else None
+        if not isinstance(target, (str, bytes)):
+            return x
+        if self._names is None:
+            self._names = self.pdf.destinations()
+        found = self.pdf.get(self._names.get(target if isinstance(target, bytes) else target.encode("latin-1")))
+        found = self.pdf.get(found.get("D")) if isinstance(found, dict) else found
+        return found if isinstance(found, list) else x
 
 
-def assemble(pages: list[Taken], metadata: dict[str, str] | None = None, outline: list[tuple[int, str, int]] | None = None) -> bytes:
-    """A file of the pages in this order; a page taken twice is in it twice, sharing what it draws.
+def save(pdf: Pdf, *, security: Security | None = None, packed: bool = False) -> tuple[bytes, int]:
+    """A file as its objects are now, and how many objects nothing reached.
 
-    ``metadata`` replaces that of the first file. ``outline`` is (level, title, page of the new file).
+    A protected file stays protected in the way it was opened, unless ``security`` gives another.
     """
     out = Writer()
-    root, tree = out.add(), out.add()
-    copiers: dict[int, Copier] = {}
-    refs = []
-    for t in pages:
-        copier = copiers.setdefault(id(t.pdf), Copier(t.pdf, out))
-        ref = out.add()
-        if t.page.ref and t.page.ref.number not in copier.done:
-            copier.done[t.page.ref.number] = ref
-        refs.append(ref)
-    for t, ref in zip(pages, refs):
-        copier = copiers[id(t.pdf)]
-        own = {k: v for k, v in t.page.info.items() if k not in ("Parent", "Kids", "StructParents", "B")}
-        info = {k: copier.value(v) for k, v in own.items()}
-        info |= {"Type": Name("Page"), "Parent": tree}
-        info.setdefault("MediaBox", [0, 0, 612, 792])
-        info.setdefault("Resources", {})
-        turned = (t.page.rotation + t.turn) % 360
-        if turned or "Rotate" in info:
-            info["Rotate"] = turned
-        if t.overlay:
-            _draw_over(out, info, t, copier)
-        out.set(ref, info)
-    out.set(tree, {"Type": Name("Pages"), "Kids": refs, "Count": len(refs)})
-    catalog: dict[str, Any] = {"Type": Name("Catalog"), "Pages": tree}
-    first = pages[0].pdf
-    if first.catalog.get("AcroForm") is not None and len({id(t.pdf) for t in pages}) == 1:
-        catalog["AcroForm"] = copiers[id(first)].value(first.catalog["AcroForm"])
-    if outline:
-        catalog["Outlines"] = _outline(out, outline, refs)
-    out.set(root, catalog)
-    meta = first.metadata() if metadata is None else metadata
-    keys = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer"}
-    info = {keys[k]: encode_text(v) for k, v in meta.items() if k in keys and v}
-    return out.finish(root, out.add(info) if info else None)
-
-
-def _draw_over(out: Writer, info: dict[str, Any], t: Taken, copier: Copier) -> None:
-    resources = t.pdf.get(t.page.info.get("Resources")) or {}
-    fonts = dict(t.pdf.get(resources.get("Font")) or {})
-    name = "PapyraF"
-    while name in fonts:
-        name += "x"
-    own = {k: copier.value(v) for k, v in resources.items() if k != "Font"}
-    own["Font"] = {k: copier.value(v) for k, v in fonts.items()}
-    own["Font"][name] = standard_font()
-    info["Resources"] = own
-    old = info.get("Contents")
-    old = old if isinstance(old, list) else [] if old is None else [old]
-    info["Contents"] = [out.stream(b"q\n"), *old, out.stream(b"\nQ\n" + t.overlay.replace(b"/F0 ", b"/" + name.encode() + b" "))]
+    copier = Copier(pdf, out)
+    copier._destination = lambda owner, key, x: x  # the names are kept
+    root = copier.value(pdf.trailer["Root"])
+    info = copier.value(pdf.trailer["Info"]) if isinstance(pdf.get(pdf.trailer.get("Info")), dict) else None
+    if info is not None and not isinstance(info, Ref):
+        info = out.add(info)
+    keep = security or pdf.security
+    if keep and "Filter" in keep.info:
+        keep.info["ID"] = pdf.get(pdf.trailer.get("ID"))
+    known = set(pdf.entries) | set(pdf.cache)
+    structure = sum(isinstance(x := pdf._quietly(n), Stream) and x.info.get("Type") in ("XRef", "ObjStm") for n in known)
+    unused = max(0, len(known) - structure - (keep is not None) - len(copier.done))
+    return out.finish(root, info, security=keep, packed=packed, version=max(pdf.version, "1.5") if not keep else "1.7"), unused
 
 
 def standard_font(name: str = "Helvetica") -> dict[str, Any]:
@@ -192,10 +231,10 @@ def standard_font(name: str = "Helvetica") -> dict[str, Any]:
     return {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(name), "Encoding": Name("WinAnsiEncoding")}
 
 
-def _outline(out: Writer, entries: list[tuple[int, str, int]], pages: list[Ref]) -> Ref:
-    """The linked tree of an outline; a level that leaps is the child of what stands before it."""
+def outline_tree(out: Writer, entries: list[tuple[int, str, Any]]) -> Ref:
+    """The linked tree of outline entries (level, title, destination); a level that leaps is the child of what stands before it."""
     root = out.add()
-    items = [(out.add(), level, title, page) for level, title, page in entries]
+    items = [(out.add(), level, title, target) for level, title, target in entries]
     parent: list[Ref] = []
     open_: list[tuple[int, Ref]] = []
     children: dict[Ref, list[Ref]] = {}
@@ -210,10 +249,10 @@ def _outline(out: Writer, entries: list[tuple[int, str, int]], pages: list[Ref])
     below: dict[Ref, int] = {}
     for (ref, *_), up in zip(reversed(items), reversed(parent)):
         below[up] = below.get(up, 0) + 1 + below.get(ref, 0)
-    for (ref, _, title, page), up in zip(items, parent):
-        siblings = children[up]
-        k = siblings.index(ref) if len(siblings) < 64 else _place(siblings, ref)
-        info: dict[str, Any] = {"Title": encode_text(title), "Parent": up, "Dest": [pages[page - 1], Name("Fit")]}
+    place = {ref: k for siblings in children.values() for k, ref in enumerate(siblings)}
+    for (ref, _, title, target), up in zip(items, parent):
+        siblings, k = children[up], place[ref]
+        info: dict[str, Any] = {"Title": encode_text(title), "Parent": up} | ({"Dest": target} if target is not None else {})
         if k:
             info["Prev"] = siblings[k - 1]
         if k + 1 < len(siblings):
@@ -225,12 +264,6 @@ def _outline(out: Writer, entries: list[tuple[int, str, int]], pages: list[Ref])
     return root
 
 
-def _place(siblings: list[Ref], ref: Ref) -> int:
-    import bisect
-
-    return bisect.bisect_left(siblings, ref)
-
-
 def text_width(text: str, size: float) -> float:
     """Width in Helvetica."""
     return sum(helvetica(b) for b in text.encode("cp1252", "replace")) * size / 1000
