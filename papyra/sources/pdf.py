@@ -14,7 +14,7 @@ import zlib
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
-from ..functions.text import HELVETICA, UNKNOWN_WIDTH
+from ..functions.text import HELVETICA, HELVETICA_BOLD, UNKNOWN_WIDTH
 from .crypt import Security, WrongPassword
 
 #: Bounds on what one file may cost.
@@ -731,6 +731,6 @@ def iso_date(text: str) -> str:
     return f"{p[0]}-{p[1]}-{p[2]}T{p[3]}:{p[4]}:{p[5]}{sign}{m[8] or '00'}:{m[9] or '00'}"
 
 
-def helvetica(code: int) -> int:
+def helvetica(code: int, bold: bool = False) -> int:
     """Advance width of a character code, in 1/1000 em."""
-    return HELVETICA[code - 32] if 32 <= code <= 126 else UNKNOWN_WIDTH
+    return (HELVETICA_BOLD if bold else HELVETICA)[code - 32] if 32 <= code <= 126 else UNKNOWN_WIDTH

@@ -31,11 +31,35 @@ LONG = {"W": "Width", "H": "Height", "BPC": "BitsPerComponent", "CS": "ColorSpac
 LONG_VALUES = {"G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK", "I": "Indexed", "Fl": "FlateDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "DCT": "DCTDecode"}
 
 
-def hit(box: Area, areas: list[Area]) -> int | None:
+class Areas:
+    """Areas by the bands of the page that they reach into, so that a glyph is compared with those near it only."""
+
+    BAND = 16.0
+
+    def __init__(self, areas: list[Area]):
+        self.areas = areas
+        self.bands: dict[int, list[int]] = {}
+        for k, a in enumerate(areas):
+            for band in range(math.floor(a[1] / self.BAND), math.floor(a[3] / self.BAND) + 1):
+                self.bands.setdefault(band, []).append(k)
+
+    def near(self, box: Area) -> list[int]:
+        """Numbers of the areas that may meet a box, in rising order."""
+        first, last = math.floor(box[1] / self.BAND), math.floor(box[3] / self.BAND)
+        if first == last:
+            return self.bands.get(first, [])
+        return sorted({k for band in range(first, last + 1) for k in self.bands.get(band, ())})
+
+
+def hit(box: Area, areas: Areas) -> int | None:
     """The first area that covers a glyph: its centre, or a substantial part of its box."""
+    near = areas.near(box)
+    if not near:
+        return None
     x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
     size = (box[2] - box[0]) * (box[3] - box[1])
-    for k, a in enumerate(areas):
+    for k in near:
+        a = areas.areas[k]
         shared = max(0.0, min(box[2], a[2]) - max(box[0], a[0])) * max(0.0, min(box[3], a[3]) - max(box[1], a[1]))
         if a[0] <= x <= a[2] and a[1] <= y <= a[3] or size > 0 and shared > HIT * size:
             return k
@@ -76,7 +100,7 @@ class Rewriter(Interpreter):
 
     def __init__(self, pdf: Pdf, page: Page, changes: Changes):
         super().__init__(pdf, page)
-        self.changes = changes
+        self.changes, self.areas = changes, Areas(changes.areas)
         self.forms: dict[Any, Any] = {}
 
     def rewrite(self, data: bytes, resources: dict[str, Any], s: State, depth: int = 0) -> tuple[bytes, bool]:
@@ -159,7 +183,7 @@ class Rewriter(Interpreter):
                 continue
             codes = s.font.codes(part)
             for code, g in zip(codes, self.shown(part, s)):
-                k = None if g is None or not g.text.strip() and self.changes.texts is None else hit(g.box, self.changes.areas)
+                k = None if g is None or not g.text.strip() and self.changes.texts is None else hit(g.box, self.areas)
                 if k is None:
                     data = s.font.bytes_of(code)
                     out[-1:] = [out[-1] + data] if out and isinstance(out[-1], bytes) else [*out[-1:], data]
@@ -424,7 +448,8 @@ def redact(
     check = Pdf(data, pdf.password)
     for n in sorted(areas):
         words = interpret(check, check.pages()[n - 1]).words
-        left = sum(hit(box, areas[n]) is not None for w in words for _, _, box in w.parts)
+        index = Areas(areas[n])
+        left = sum(hit(box, index) is not None for w in words for _, _, box in w.parts)
         if left:
             raise Refused(f"page {n}: {left} glyphs are still inside a redacted area after rewriting; nothing was written")
     out = {"text_matches": matches, "pages": report, "verified": True}

@@ -208,7 +208,7 @@ class Font:
         found = self.widths.get(code)
         if found is None:
             found = next((w for a, b, w in self.ranges if a <= code <= b), self.default)
-        return float(helvetica(code)) if found is None else found
+        return float(helvetica(code, self.bold)) if found is None else found
 
     def encode(self, text: str) -> bytes | None:
         """Codes that show a text, or none where the font is not known to have every character of it."""
