@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, in Java's syntax.
@@ -19,11 +19,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at its ends, whatever kind of it."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+
+
 def flatten(text: Column | str) -> Column:
     """One line: every run of white space is one space, none at the ends."""
     return F.trim(F.regexp_replace(col(text), SPACE, " "))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tidy(text: Column | str) -> Column:
     """Lines with single spaces, none at their ends; one blank line between paragraphs, none at the ends."""
     out = F.regexp_replace(col(text), r"(?U)[\s&&[^\n]]+", " ")
@@ -44,8 +57,8 @@ _UNSUPPORTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|\\Z|\\G|(?<!\\)[*+?
 def pattern(query: str, *, regex: bool = False, case_sensitive: bool = False) -> str:
     """A Java pattern for a search query; a literal is quoted.
 
-    Look-around, back references and possessive repeats are refused, so that results depend on no
-    engine's extras.
+    Classes such as ``\\d`` and ``\\w`` are those of Unicode. Look-around, back references and possessive repeats are
+    refused, so that results depend on no engine's extras.
     """
     if not query:
         raise ValueError("query is empty")
@@ -56,7 +69,8 @@ def pattern(query: str, *, regex: bool = False, case_sensitive: bool = False) ->
         body = f"(?:{query})"
     else:
         body = r"\Q" + query.replace("\\E", r"\E\\E\Q") + r"\E"
-    return ("" if case_sensitive else "(?iu)") + body
+    flags = ("U" if regex else "") + ("" if case_sensitive else "iu")
+    return (f"(?{flags})" if flags else "") + body
 
 
 def any_pattern(texts: list[str], *, regex: bool = False, case_sensitive: bool = False) -> list[str]:
@@ -72,14 +86,15 @@ def count_matches(text: Column | str, java: str) -> Column:
     return F.coalesce(F.regexp_count(col(text), F.lit(java)), F.lit(0)).cast("long")
 
 
-def spans(text: Column | str, java: str, most: int) -> Column:
-    """The first ``most`` matches as array<struct<start, match>>, start counted from 0.
+def spans(text: Column | str, java: str, most: int | None = None) -> Column:
+    """Matches as array<struct<start, match>>, start counted from 0; the first ``most`` where that is given.
 
-    Starts are sums over the pieces between matches; only ``most`` of them are ever summed.
+    Starts are sums over the pieces between matches; only those asked for are ever summed.
     """
     t = col(text)
-    hits = F.slice(F.regexp_extract_all(t, F.lit(java), 0), 1, most)
-    gaps = F.transform(F.split(t, java, most + 1), lambda x: F.length(x))
+    hits = F.regexp_extract_all(t, F.lit(java), 0)
+    hits = hits if most is None else F.slice(hits, 1, most)
+    gaps = F.transform(F.split(t, java, -1 if most is None else most + 1), lambda x: F.length(x))
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("match"))
     none = F.array().cast("array<struct<start: int, match: string>>")
     start = F.struct(F.lit(0).alias("end"), none.alias("out"))
@@ -118,12 +133,15 @@ def decode_entities(text: Column | str) -> Column:
     return F.when(t.contains("&"), joined).otherwise(t)
 
 
+# Words that mean yes, and no.
+YES = ("true", "yes", "on", "1", "x", "checked")
+NO = ("false", "no", "off", "0", "", "unchecked")
+
+
 def truthy(value: Column | str) -> Column:
     """Whether a form value means yes or no; null where it says neither."""
-    v = F.lower(F.trim(col(value)))
-    return F.when(v.isin("true", "yes", "on", "1", "x", "checked"), True).when(
-        v.isin("false", "no", "off", "0", "", "unchecked"), False
-    )
+    v = F.lower(strip(value))
+    return F.when(v.isin(*YES), True).when(v.isin(*NO), False)
 
 
 def host(url: Column | str) -> Column:
@@ -184,6 +202,7 @@ def pdf_literal(text: Column | str) -> Column:
 
 def file_type(head: Column, name: Column) -> Column:
     """What a file is, by its first bytes and then its extension: struct(type, severity)."""
+    # First bytes, extensions, types and severities.
     magic = F.hex(F.substring(head, 1, 4))
     ext = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
     kind = lambda t, s: F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pagespec import apply_spec, parse
-
-#: Levels of an outline that nesting is worked out for.
-MOST_LEVELS = 16
+from ..functions.text import fresh
 
 
 def keep_pages(pages: DataFrame, spec: str) -> DataFrame:
@@ -18,10 +20,14 @@ def keep_pages(pages: DataFrame, spec: str) -> DataFrame:
 
 def delete_pages(pages: DataFrame, spec: str) -> DataFrame:
     """All but the selected pages, numbered anew; a document of which nothing would be left fails."""
-    gone = apply_spec(pages.select("doc_id", "page"), spec).select("doc_id", "page").distinct()
-    left = pages.join(gone, ["doc_id", "page"], "left_anti")
+    mark = fresh("__gone", pages)
+    gone = apply_spec(pages.select("doc_id", "page"), spec).select("doc_id", "page").distinct().withColumn(mark, F.lit(True))
+    marked = pages.join(gone, ["doc_id", "page"], "left")
+    left = F.count(F.when(F.col(mark).isNull(), 1)).over(Window.partitionBy("doc_id"))
+    stays = F.when(left == 0, F.raise_error(F.lit("this would delete every page")).cast("boolean")).otherwise(F.col(mark).isNull())
+    kept = marked.withColumn(mark, stays).where(mark).drop(mark)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
-    return left.withColumn("source_page", F.col("page")).withColumn("page", number)
+    return kept.withColumn("source_page", F.col("page")).withColumn("page", number)
 
 
 def _parts(numbered: DataFrame, stem: Column) -> DataFrame:
@@ -74,22 +80,34 @@ def merge_fields(fields: DataFrame) -> DataFrame:
     """
     first = F.min("pos").over(Window.partitionBy("merge_id"))
     renamed = F.concat(F.lit("doc"), F.col("pos").cast("string"), F.lit("."), F.col("name"))
-    return fields.withColumn("__first", first).withColumn("merged_name", F.when(F.col("pos") == F.col("__first"), F.col("name")).otherwise(renamed)).drop("__first")
+    return fields.withColumn("merged_name", F.when(F.col("pos") == first, F.col("name")).otherwise(renamed))
 
 
-def renest(entries: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
+def renest(entries: DataFrame) -> DataFrame:
     """Outline entries (doc_id, seq, level, ...) with ``new_level`` by nesting.
 
-    An entry's parent is the nearest one before it with a smaller level. The parents of an entry are those that
-    are still open at it: for each smaller level, the last entry of that level or a smaller one, if it is of that
-    level. So the depth is a count over running maxima, one per level, in a single sorted pass.
+    An entry's parent is the nearest one before it with a smaller level, however deep. The entries of a document pass
+    by in order, and only the levels that are still open are held.
     """
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    depth: Column = F.lit(1)
-    for level in range(1, most_levels):
-        last = F.max(F.when(F.col("level") <= level, F.struct("seq", "level"))).over(before)
-        depth = depth + F.when((F.col("level") > level) & (last["level"] == level), 1).otherwise(0)
-    return entries.withColumn("new_level", depth.cast("long"))
+    name = fresh("new_level", entries.drop("new_level"))
+    entries = entries.drop("new_level")
+    at = [entries.columns.index(c) for c in ("doc_id", "level")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_ = None, []
+        for batch in batches:
+            out = []
+            for d, level in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()):
+                if d != doc:
+                    doc, open_ = d, []
+                while open_ and (level is None or open_[-1] >= level):
+                    open_.pop()
+                open_.append(1 if level is None else level)
+                out.append(len(open_))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
+
+    ordered = entries.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    return ordered.mapInArrow(run, T.StructType([*entries.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def surviving_outline(entries: DataFrame, kept: DataFrame) -> DataFrame:
@@ -97,21 +115,35 @@ def surviving_outline(entries: DataFrame, kept: DataFrame) -> DataFrame:
     return renest(entries.join(kept.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
 
 
-def flatten_tree(nodes: DataFrame, *, most_depth: int = 64) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """Trees (doc_id, id, parent, pos, title) as outline entries in reading order: (doc_id, seq, level, title, id).
 
-    One join per level, as deep as the trees are; what a loop would reach again is not a child of a root and is left out.
+    A document's tree is the unit that one task walks, iteratively and however deep. Children stand by ``pos``, then
+    id. What no root leads to, such as a loop, is left out; a node that two lead to counts once.
     """
-    key = lambda pos: F.lpad(pos.cast("string"), 10, "0")
-    level = nodes.where("parent is null").select("doc_id", "id", "title", F.lit(1).alias("level"), F.array(key(F.col("pos"))).alias("path"))
-    out = level
-    for depth in range(2, most_depth + 1):
-        above = level.select(F.col("doc_id").alias("d"), F.col("id").alias("p"), F.col("path").alias("above"))
-        level = nodes.join(above, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p"))).select(
-            "doc_id", "id", "title", F.lit(depth).alias("level"), F.concat("above", F.array(key(F.col("pos")))).alias("path")
-        )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
-    return out.select("doc_id", seq.cast("long").alias("seq"), F.col("level").cast("long").alias("level"), "title", "id")
+    rows = nodes.select("doc_id", F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"), F.col("pos").cast("long").alias("pos"), F.col("title").cast("string").alias("title"))
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+
+    def walk(table: pa.Table) -> pa.Table:
+        doc = table.column("doc_id")[0]
+        children: dict[str | None, list[tuple]] = {}
+        columns = [table.column(c).to_pylist() for c in ("parent", "pos", "id", "title")]
+        for parent, pos, ident, title in sorted(zip(*columns), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "")):
+            children.setdefault(parent, []).append((ident, title))
+        out, todo, seen = [], [(1, *x) for x in reversed(children.get(None, []))], set()
+        while todo:
+            level, ident, title = todo.pop()
+            if ident in seen:
+                continue
+            seen.add(ident)
+            out.append((level, title, ident))
+            todo += [(level + 1, *x) for x in reversed(children.get(ident, []))]
+        levels, titles, idents = zip(*out) if out else ((), (), ())
+        return pa.table(
+            {
+                "doc_id": pa.array([doc.as_py()] * len(out), doc.type), "seq": pa.array(range(1, len(out) + 1), pa.int64()), "level": pa.array(levels, pa.int64()),
+                "title": pa.array(titles, pa.string()), "id": pa.array(idents, pa.string()),
+            }
+        )
+
+    return rows.groupBy("doc_id").applyInArrow(walk, f"doc_id {kind}, seq long, level long, title string, id string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.pagespec import apply_spec
 
 META_KEYS = ("title", "author", "subject", "keywords", "creator")
@@ -16,9 +17,10 @@ def rotate(pages: DataFrame, angle: int, spec: str | None = None) -> DataFrame:
     """Pages with ``rotation`` turned by ``angle`` for every time the spec names them."""
     if angle % 90:
         raise ValueError("angle must be a multiple of 90")
-    times = apply_spec(pages.select("doc_id", "page"), spec).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("__times"))
-    turned = F.pmod(F.col("rotation") + F.coalesce("__times", F.lit(0)) * angle, F.lit(360))
-    return pages.join(times, ["doc_id", "page"], "left").withColumn("rotation", turned.cast("int")).drop("__times")
+    n = T.fresh("__times", pages)
+    times = apply_spec(pages.select("doc_id", "page"), spec).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias(n))
+    turned = F.pmod(F.col("rotation") + F.coalesce(n, F.lit(0)) * angle, F.lit(360))
+    return pages.join(times, ["doc_id", "page"], "left").withColumn("rotation", turned.cast("int")).drop(n)
 
 
 def visual_size(width: Column, height: Column, rotation: Column) -> tuple[Column, Column]:
@@ -53,6 +55,7 @@ def stamp_text(template: str, page: Column, pages: Column) -> Column:
 
 def overlapping_words(stamps: DataFrame, words: DataFrame, *, slack: float = 0.5) -> DataFrame:
     """(doc_id, page, words_under_it): words that a stamp's box lies over. Joined by page, then by range."""
+    stamps = stamps.select("doc_id", "page", "x0", "y0", "x1", "y1")
     w = words.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), *[F.col(c).alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1")])
     over = (
         (F.col("doc_id") == F.col("d"))

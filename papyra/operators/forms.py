@@ -10,8 +10,10 @@ from ..functions import text as T
 
 def list_fields(fields: DataFrame, widgets: DataFrame) -> DataFrame:
     """Fields by name with the page of their first widget; ``widgets`` has doc_id, name, pos, page."""
-    first = widgets.groupBy(F.col("doc_id").alias("d"), F.col("name").alias("f")).agg(F.min_by("page", "pos").alias("page"))
-    return fields.join(first, (F.col("doc_id") == F.col("d")) & (F.col("name") == F.col("f")), "left").drop("d", "f")
+    doc, name, page = (T.fresh(n, fields) for n in ("__doc", "__name", "__page"))
+    first = widgets.groupBy(F.col("doc_id").alias(doc), F.col("name").alias(name)).agg(F.min_by("page", "pos").alias(page))
+    joined = fields.join(first, (F.col("doc_id") == F.col(doc)) & (F.col("name") == F.col(name)), "left")
+    return joined.withColumn("page", F.col(page)).drop(doc, name, page)
 
 
 def plan_fill(fields: DataFrame, values: DataFrame) -> DataFrame:
@@ -20,6 +22,7 @@ def plan_fill(fields: DataFrame, values: DataFrame) -> DataFrame:
     ``fields`` has doc_id, name, type, options, read_only; ``values`` has doc_id, name, value. A check box takes a
     yes or no, or one of its states; a choice takes one of its options.
     """
+    values = values.select("doc_id", "name", "value")
     f = fields.select(F.col("doc_id").alias("d"), F.col("name").alias("f"), "type", "options", "read_only")
     joined = values.join(f, (F.col("doc_id") == F.col("d")) & (F.col("name") == F.col("f")), "left")
     answer = T.truthy("value")
@@ -42,6 +45,7 @@ def fill(fields: DataFrame, values: DataFrame) -> DataFrame:
     """``fields`` with the values filled in; any error fails the query."""
     plan = plan_fill(fields, values)
     checked = F.when(F.col("error").isNotNull(), F.raise_error("error").cast("string")).otherwise(F.col("new_value"))
-    new = plan.select(F.col("doc_id").alias("d"), F.col("name").alias("f"), checked.alias("__new"))
-    joined = fields.join(new, (F.col("doc_id") == F.col("d")) & (F.col("name") == F.col("f")), "left")
-    return joined.withColumn("value", F.coalesce("__new", "value")).drop("d", "f", "__new")
+    doc, name, value = (T.fresh(n, fields) for n in ("__doc", "__name", "__new"))
+    new = plan.select(F.col("doc_id").alias(doc), F.col("name").alias(name), checked.alias(value))
+    joined = fields.join(new, (F.col("doc_id") == F.col(doc)) & (F.col("name") == F.col(name)), "left")
+    return joined.withColumn("value", F.coalesce(value, "value")).drop(doc, name, value)

@@ -1,13 +1,19 @@
 """Geometry of a page: lines, segments, grids, tables from alignment, formatters.
 
 Words are rows (doc_id, page, seq, text, x0, y0, x1, y1, size). What depends on the order of words is a fold over the
-sorted words of one page; a page is the unit that is never split, and the only thing gathered.
+sorted words of one page; a page is the unit that is never split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import fresh, strip
 
 
 #: Fixed values, in font sizes: how far apart the centres of words on one line may be, and how wide the gap
@@ -15,34 +21,34 @@ from pyspark.sql import functions as F
 LINE_CENTRE = 0.5
 CELL_GAP = 0.9
 
-_WORD = "struct<centre: double, x0: double, y0: double, x1: double, y1: double, size: double, text: string, line: int>"
-
 
 def line_numbers(words: DataFrame) -> DataFrame:
     """(doc_id, page, line, text, x0, y0, x1, y1, size) per word, lines from the top.
 
-    A word joins the last line if its centre lies close enough to that of the line's *first* word.
+    A word joins the last line if its centre lies close enough to that of the line's *first* word. Words pass by sorted
+    by page and centre, equal centres by ``seq``; only the first word of the line is remembered, and nothing is gathered.
     """
-    centre = ((F.col("y0") + F.col("y1")) / 2).alias("centre")
-    word = F.struct(centre, F.col("seq").alias("at"), "x0", "y0", "x1", "y1", "size", "text")
-    gathered = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    none = F.array().cast(f"array<{_WORD}>")
-    start = F.struct(none.alias("out"), F.lit(0).alias("line"), F.lit(None).cast("double").alias("centre"), F.lit(None).cast("double").alias("size"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = F.abs(acc["centre"] - x["centre"]) < LINE_CENTRE * F.least(acc["size"], x["size"])
-        joins = F.coalesce(same, F.lit(False))
-        line = F.when(joins, acc["line"]).otherwise(acc["line"] + 1)
-        fields = [x[c].alias(c) for c in ("centre", "x0", "y0", "x1", "y1", "size", "text")]
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(*fields, line.alias("line")))).alias("out"),
-            line.alias("line"),
-            F.when(joins, acc["centre"]).otherwise(x["centre"]).alias("centre"),
-            F.when(joins, acc["size"]).otherwise(x["size"]).alias("size"),
-        )
-
-    placed = gathered.select("doc_id", "page", F.explode(F.aggregate("w", start, step, lambda a: a["out"])).alias("x"))
-    return placed.select("doc_id", "page", "x.line", "x.text", "x.x0", "x.y0", "x.x1", "x.y1", "x.size")
+    kinds = {f.name: f.dataType for f in words.schema.fields}
+    out = ("doc_id", "page", "text", "x0", "y0", "x1", "y1", "size")
+    centre = ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("centre")
+    rows = words.select(*out, centre, F.col("size").cast("double").alias("own"), F.col("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, anchor, size, line = None, 0.0, 0.0, 0
+        for batch in batches:
+            numbers = []
+            for doc, page, c, s in zip(*(batch.column(k).to_pylist() for k in (0, 1, 8, 9))):
+                if (doc, page) != place:
+                    place, line, anchor, size = (doc, page), 1, c, s
+                elif not abs(anchor - c) < LINE_CENTRE * min(size, s):
+                    line, anchor, size = line + 1, c, s
+                numbers.append(line)
+            columns = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(numbers, pa.int32()), *columns[2:8]], names=["doc_id", "page", "line", *out[2:]])
+
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.IntegerType())) for c in ("doc_id", "page", "line", *out[2:])])
+    ordered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "centre", "seq")
+    return ordered.mapInArrow(run, schema)
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -84,13 +90,14 @@ def cells_of_grid(words: DataFrame, edges: DataFrame) -> DataFrame:
 
     The cell is found inside the row by counting edges at or below the centre; nothing is joined but the page.
     """
-    grid = edges.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "xs", "ys")
+    doc, page, xs, ys = (fresh(n, words) for n in ("__doc", "__page", "__xs", "__ys"))
+    grid = edges.select(F.col("doc_id").alias(doc), F.col("page").alias(page), F.col("xs").alias(xs), F.col("ys").alias(ys))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     below = lambda xs, c: F.size(F.filter(xs, lambda x: x <= c))
-    joined = words.join(grid, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")))
-    placed = joined.withColumn("column", below("xs", cx)).withColumn("row", below("ys", cy))
-    inside = F.col("column").between(1, F.size("xs") - 1) & F.col("row").between(1, F.size("ys") - 1)
-    return placed.where(inside).drop("d", "p", "xs", "ys")
+    joined = words.join(grid, (F.col("doc_id") == F.col(doc)) & (F.col("page") == F.col(page)))
+    placed = joined.withColumn("column", below(xs, cx)).withColumn("row", below(ys, cy))
+    inside = F.col("column").between(1, F.size(xs) - 1) & F.col("row").between(1, F.size(ys) - 1)
+    return placed.where(inside).drop(doc, page, xs, ys)
 
 
 def markdown_row(cells: Column) -> Column:
@@ -115,8 +122,8 @@ def tsv_lines(rows: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("pos")
     numbered = rows.withColumn("line", F.sum(F.when(F.col("level") == 4, 1).otherwise(0)).over(order))
-    words = numbered.where((F.col("level") == 5) & (F.trim("text") != "") & (F.col("line") > 0))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.trim(x["text"])), " ")
+    words = numbered.where((F.col("level") == 5) & (strip("text") != "") & (F.col("line") > 0))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: strip(x["text"])), " ")
     return words.groupBy("doc_id", "line").agg(
         text.alias("text"),
         F.min("left").alias("x0"),

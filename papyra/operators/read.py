@@ -12,7 +12,7 @@ from ..functions.pagespec import apply_spec
 def _budgeted(pages: DataFrame, max_chars: int | None, from_char: int, spec: str | None) -> tuple[DataFrame, Column]:
     picked = apply_spec(pages, spec)
     skip = F.when(F.col("pos") == 1, from_char).otherwise(0)
-    size = F.greatest(F.coalesce(F.length(F.trim("text")), F.lit(0)) - skip, F.lit(0)).cast("long")
+    size = F.greatest(F.coalesce(F.length(T.strip("text")), F.lit(0)) - skip, F.lit(0)).cast("long")
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     sized = picked.withColumn("__skip", skip).withColumn("__size", size)
     prev = F.coalesce(F.sum("__size").over(before), F.lit(0)).cast("long")
@@ -28,7 +28,7 @@ def read_text(pages: DataFrame, *, max_chars: int | None = None, from_char: int
     """
     rows, budget = _budgeted(pages, max_chars, from_char, spec)
     left = budget - F.col("__prev")
-    shown = F.substring(F.trim("text"), F.col("__skip") + F.lit(1), F.least(left, F.lit(2**31 - 1)).cast("int"))
+    shown = F.substring(T.strip("text"), F.col("__skip") + F.lit(1), F.least(left, F.lit(2**31 - 1)).cast("int"))
     return rows.where(F.col("__prev") < budget).select(
         "doc_id", "pos", "page", shown.alias("text"), (F.col("__size") > left).alias("truncated")
     )
@@ -122,7 +122,8 @@ def info(pages: DataFrame, *, width: Column, height: Column) -> DataFrame:
 
 def outline_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """Outline entries (doc_id, seq, level, title, target) with the page number of their target, null where there is none."""
-    numbers = pages.select(F.col("doc_id").alias("d"), F.col("obj").alias("o"), "page")
-    return entries.join(numbers, (F.col("doc_id") == F.col("d")) & (F.col("target") == F.col("o")), "left").select(
-        "doc_id", "seq", "level", "title", "page"
+    doc, obj, page = (T.fresh(n, entries) for n in ("__doc", "__obj", "__page"))
+    numbers = pages.select(F.col("doc_id").alias(doc), F.col("obj").alias(obj), F.col("page").alias(page))
+    return entries.join(numbers, (F.col("doc_id") == F.col(doc)) & (F.col("target") == F.col(obj)), "left").select(
+        "doc_id", "seq", "level", "title", F.col(page).alias("page")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def targets(lines: DataFrame, texts: list[str], *, regex: bool = False, case_sensitive: bool = False, most: int = 10_000) -> DataFrame:
+def targets(lines: DataFrame, texts: list[str], *, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
     """Every match of every pattern on its line: (doc_id, page, line, pattern, start, match).
 
     Patterns are independent and overlaps stay. A phrase that runs over the end of a line is no match.
@@ -18,7 +18,7 @@ def targets(lines: DataFrame, texts: list[str], *, regex: bool = False, case_sen
     out = None
     for k, java in enumerate(T.any_pattern(texts, regex=regex, case_sensitive=case_sensitive)):
         rows = lines.where(F.col("text").rlike(java)).select(
-            "doc_id", "page", "line", F.lit(k + 1).alias("pattern"), F.explode(T.spans("text", java, most)).alias("s")
+            "doc_id", "page", "line", F.lit(k + 1).alias("pattern"), F.explode(T.spans("text", java)).alias("s")
         )
         rows = rows.select("doc_id", "page", "line", "pattern", F.col("s.start").cast("long").alias("start"), F.col("s.match").alias("match"))
         out = rows if out is None else out.unionByName(rows)
@@ -28,8 +28,13 @@ def targets(lines: DataFrame, texts: list[str], *, regex: bool = False, case_sen
 def count_targets(lines: DataFrame, texts: list[str], **how) -> DataFrame:
     """Annotations that marking every match would add: (doc_id, page, added)."""
     patterns = T.any_pattern(texts, **how)
-    counted = lines.withColumn("__n", sum((T.count_matches("text", p) for p in patterns), F.lit(0).cast("long")))
-    return counted.groupBy("doc_id", "page").agg(F.sum("__n").cast("long").alias("added")).where("added > 0")
+    n = sum((T.count_matches("text", p) for p in patterns), F.lit(0).cast("long"))
+    return lines.where(holds("text", patterns)).groupBy("doc_id", "page").agg(F.sum(n).cast("long").alias("added"))
+
+
+def holds(text: Column | str, patterns: list[str]) -> Column:
+    """Whether any of the patterns matches: one look for all of them, flags kept to each."""
+    return F.coalesce(T.col(text).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
 def struck(text: Column | str, patterns: list[str]) -> Column:
@@ -44,31 +49,31 @@ def redact(lines: DataFrame, texts: list[str], *, regex: bool = False, case_sens
     """``lines`` with matches removed, and ``removed``, how many were.
 
     With ``verify`` every result is searched again; a line that still matches fails the query, so that nothing is
-    written which still holds what was to go.
+    written which still holds what was to go. A line that holds none of the texts is looked at once and passed on.
     """
     patterns = T.any_pattern(texts, regex=regex, case_sensitive=case_sensitive)
     removed = sum((T.count_matches("text", p) for p in patterns), F.lit(0).cast("long"))
-    out = lines.withColumn("removed", removed).withColumn("text", struck("text", patterns))
-    if not verify:
-        return out
-    left = F.lit(False)
-    for java in patterns:
-        left = left | F.coalesce(F.col("text").rlike(java), F.lit(False))
-    checked = F.when(left, F.raise_error(F.lit("text is left after redaction")).cast("string")).otherwise(F.col("text"))
-    return out.withColumn("text", checked)
+    new = struck("text", patterns)
+    if verify:
+        # Bound once, so that the text is not struck again for the second look.
+        left = lambda x: F.when(holds(x, patterns), F.raise_error(F.lit("text is left after redaction")).cast("string")).otherwise(x)
+        new = F.element_at(F.transform(F.array(new), left), 1)
+    found = T.fresh("__hit", lines)
+    out = lines.withColumn(found, holds("text", patterns))
+    out = out.withColumn("removed", F.when(F.col(found), removed).otherwise(F.lit(0).cast("long")))
+    return out.withColumn("text", F.when(F.col(found), new).otherwise(F.col("text"))).drop(found)
 
 
 def redact_fixpoint(lines: DataFrame, texts: list[str], *, rounds: int = 8, **how) -> DataFrame:
-    """Redaction repeated while removing one match makes another, as in ``sesecretcret``; then verified."""
+    """Redaction repeated while removing one match makes another, as in ``sesecretcret``; then verified.
+
+    Rounds are steps of one fold, and a line in which nothing is left to find passes them by.
+    """
     patterns = T.any_pattern(texts, **how)
-    out = F.col("text")
-    for _ in range(rounds):
-        out = struck(out, patterns)
-    left = F.lit(False)
-    for java in patterns:
-        left = left | F.coalesce(F.col("text").rlike(java), F.lit(False))
-    checked = F.when(left, F.raise_error(F.lit("text is left after redaction")).cast("string")).otherwise(F.col("text"))
-    return lines.withColumn("text", out).withColumn("text", checked)
+    step = lambda acc, _: F.when(holds(acc, patterns), struck(acc, patterns)).otherwise(acc)
+    check = lambda acc: F.when(holds(acc, patterns), F.raise_error(F.lit("text is left after redaction")).cast("string")).otherwise(acc)
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("text"), step, check)
+    return lines.withColumn("text", F.when(holds("text", patterns), out).otherwise(F.col("text")))
 
 
 def java_replacement(template: str) -> str:
@@ -104,11 +109,15 @@ def replace_text(
         raise ValueError("the replacement must be one line")
     java = T.pattern(find, regex=regex, case_sensitive=case_sensitive)
     new = java_replacement(replacement) if regex else re.sub(r"([\\$])", r"\\\1", replacement)
+    hit = T.fresh("__hit", lines)
+    zero = F.lit(0).cast("long")
+    count = T.count_matches("text", java)
     out = F.regexp_replace("text", java, new)
-    return (
-        lines.withColumn("replacements", T.count_matches("text", java))
-        .withColumn("__new", out)
-        .withColumn("width_change", T.helvetica_units("__new") - T.helvetica_units("text"))
-        .withColumn("text", F.col("__new"))
-        .drop("__new")
-    )
+    if regex:
+        change = T.helvetica_units(out) - T.helvetica_units("text")
+    else:
+        # All matches are replaced by one text: only what is taken out has to be measured.
+        change = count * T.helvetica_units(F.lit(replacement)) - T.helvetica_units(F.array_join(F.regexp_extract_all("text", F.lit(java), 0), ""))
+    marked = lines.withColumn(hit, holds("text", [java]))
+    changed = marked.withColumn("replacements", F.when(F.col(hit), count).otherwise(zero)).withColumn("width_change", F.when(F.col(hit), change).otherwise(zero))
+    return changed.withColumn("text", F.when(F.col(hit), out).otherwise(F.col("text"))).drop(hit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .redact import holds
 
 #: Severities in rising order.
 SEVERITIES = ("info", "low", "medium", "high")
@@ -88,18 +89,28 @@ def sanitize(pages: DataFrame, *, keep: tuple[str, ...] = (), id_col: str = "pag
     if unknown := set(keep) - set(REMOVALS):
         raise ValueError(f"unknown group {sorted(unknown)[0]}")
     groups = [g for g in REMOVALS if g not in keep]
-    out, counts = F.col(html_col), []
-    for g in groups:
-        counts += [F.lit(g), T.count_matches(out, REMOVALS[g][1])]
-        out = F.regexp_replace(out, REMOVALS[g][1], "")
-    done = pages.withColumn("removed", F.create_map(*counts)).withColumn(html_col, out)
     rules = {kind: java for kind, _, java, _ in HTML_RULES}
-    left = F.lit(False)
+    left = [rules[kind] for g in groups for kind in REMOVALS[g][0]]
+
+    def step(g: str):
+        def one(s: Column) -> Column:
+            java = REMOVALS[g][1]
+            held = F.coalesce(s["html"].rlike(java), F.lit(False))
+            n = F.when(held, T.count_matches(s["html"], java)).otherwise(F.lit(0).cast("long"))
+            html = F.when(held, F.regexp_replace(s["html"], java, "")).otherwise(s["html"])
+            return F.struct(html.alias("html"), F.map_concat(s["n"], F.create_map(F.lit(g), n)).alias("n"))
+
+        return one
+
+    # Every group is a step over what the one before left, bound once, so that no page is gone over again.
+    state = F.array(F.struct(F.col(html_col).cast("string").alias("html"), F.create_map().cast("map<string,bigint>").alias("n")))
     for g in groups:
-        for kind in REMOVALS[g][0]:
-            left = left | F.coalesce(F.col(html_col).rlike(rules[kind]), F.lit(False))
-    checked = F.when(left, F.raise_error(F.lit("active content is left after sanitising")).cast("string")).otherwise(F.col(html_col))
-    return done.withColumn(html_col, checked)
+        state = F.transform(state, step(g))
+    fail = F.raise_error(F.lit("active content is left after sanitising")).cast("string")
+    state = F.transform(state, lambda s: F.struct(F.when(holds(s["html"], left), fail).otherwise(s["html"]).alias("html"), s["n"].alias("n")))
+    name = T.fresh("__state", pages)
+    done = pages.withColumn(name, state[0])
+    return done.withColumn("removed", F.col(name)["n"]).withColumn(html_col, F.col(name)["html"]).drop(name)
 
 
 def letters(text: Column | str) -> Column:

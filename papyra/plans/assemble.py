@@ -63,18 +63,19 @@ def merge_field_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and suppliers as an outline in reading order."""
+    """Every region a document: its nations and their suppliers as an outline in reading order."""
+    doc = F.col("r_regionkey").cast("long").alias("doc_id")
     region = table(spark, sf_dir, "region").select(
-        F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("title")
+        doc, F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("title")
     )
+    home = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("long").alias("doc_id"))
     nation = table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("title")
+        F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("title")
     )
-    supplier = table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title")
+    supplier = table(spark, sf_dir, "supplier").join(home, F.col("s_nationkey") == F.col("k")).select(
+        "doc_id", F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title")
     )
-    nodes = region.unionByName(nation).unionByName(supplier).withColumn("doc_id", F.lit(1).cast("long"))
-    return assemble.flatten_tree(nodes)
+    return assemble.flatten_tree(region.unionByName(nation).unionByName(supplier))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +193,7 @@ WITH a AS (
   SELECT 'r' || r_regionkey AS id, r_name AS title, 1 AS level, [r_regionkey, -1, -1] AS path FROM region
   UNION ALL SELECT 'n' || n_nationkey, n_name, 2, [n_regionkey, n_nationkey, -1] FROM nation
   UNION ALL SELECT 's' || s_suppkey, s_name, 3, [n_regionkey, n_nationkey, s_suppkey] FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-SELECT CAST(1 AS BIGINT) AS doc_id, row_number() OVER (ORDER BY path) AS seq, CAST(level AS BIGINT) AS level, title, id FROM a""",
+SELECT CAST(path[1] AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY path[1] ORDER BY path) AS seq, CAST(level AS BIGINT) AS level, title, id FROM a""",
     "outline_orphans": """
 WITH RECURSIVE e AS (
   SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS seq, min(l_partkey) % 4 + 1 AS level, min(l_suppkey) % 5 AS page

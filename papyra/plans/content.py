@@ -164,7 +164,7 @@ def signature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as words: an order is a page, the quantity the place along, the line number the place down."""
-    height = F.col("l_linenumber") * 12.0 + F.pmod("l_suppkey", F.lit(3))
+    height = F.col("l_linenumber") * 4.0 + F.pmod("l_suppkey", F.lit(3))
     x0 = F.col("l_quantity") * 10 + F.col("l_linenumber") / 8.0
     return table(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / 4).cast("long").alias("doc_id"),
@@ -180,16 +180,14 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of such pages with their boxes, those of one place down only, so that no anchor is in doubt."""
-    words = _words(spark, sf_dir).withColumn("y0", F.round(F.col("y0") / 12) * 12.0).withColumn("y1", F.col("y0") + 10)
-    out = layout.lines(words)
+    """Lines of such pages with their boxes; words stand closer than lines are apart, so the first of a line decides."""
+    out = layout.lines(_words(spark, sf_dir))
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.length("text").cast("long").alias("n_chars"), "x0", "y0", "x1", "y1")
 
 
 def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the lines."""
-    words = _words(spark, sf_dir).withColumn("y0", F.round(F.col("y0") / 12) * 12.0).withColumn("y1", F.col("y0") + 10)
-    out = layout.segments(words)
+    out = layout.segments(_words(spark, sf_dir))
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("cell").cast("long").alias("cell"), "x0", "x1")
 
 
@@ -203,17 +201,17 @@ def cluster_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in a grid over quantity and discount: words in each cell."""
+    """Line items in a grid over quantity and discount, suppliers' nations as pages: words in each cell."""
     words = table(spark, sf_dir, "lineitem").select(
-        F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("x1"),
+        F.lit("items").alias("doc_id"), F.pmod("l_suppkey", F.lit(25)).cast("int").alias("page"), F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("x1"),
         F.col("l_discount").alias("y0"), F.col("l_discount").alias("y1"),
     )
-    edges = spark.range(1).select(
-        F.lit(1).alias("doc_id"), F.lit(1).alias("page"),
+    edges = table(spark, sf_dir, "nation").select(
+        F.lit("items").alias("doc_id"), F.col("n_nationkey").cast("int").alias("page"),
         F.array(*[F.lit(float(x)) for x in (5, 10, 20, 40, 50)]).alias("xs"), F.array(*[F.lit(y) for y in (0.0, 0.02, 0.05, 0.1)]).alias("ys"),
     )
-    counted = layout.cells_of_grid(words, edges).groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "n")
+    counted = layout.cells_of_grid(words, edges).groupBy("page", "row", "column").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("page").cast("long").alias("page"), F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "n")
 
 
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +297,15 @@ _LABEL = "CASE max(r) WHEN 1 THEN 'info' WHEN 2 THEN 'low' WHEN 3 THEN 'medium'
 _EXCERPT = r"CASE WHEN length(s) > 200 THEN substr(regexp_replace(s, '[\x00-\x1f\x7f]', ' ', 'g'), 1, 200) || '…' ELSE regexp_replace(s, '[\x00-\x1f\x7f]', ' ', 'g') END"
 _WORDS = """
 SELECT l_orderkey // 4 AS doc_id, l_partkey * 100000 + l_orderkey AS seq, 'w' || l_partkey AS text, l_quantity * 10 + l_linenumber / 8.0::DOUBLE AS x0,
-       round((l_linenumber * 12.0::DOUBLE + l_suppkey % 3) / 12) * 12.0::DOUBLE AS y0 FROM lineitem"""
+       l_linenumber * 4.0::DOUBLE + l_suppkey % 3 AS y0 FROM lineitem"""
+
+#: Words by lines, one after the other from the top: the first word of a line is what the next ones are measured against.
+_WORD_LINES = f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, seq) AS i FROM ({_WORDS})),
+f AS (SELECT doc_id, i, y0 AS anchor, 1 AS line FROM v WHERE i = 1
+  UNION ALL
+  SELECT v.doc_id, v.i, CASE WHEN abs(f.anchor - v.y0) < 5 THEN f.anchor ELSE v.y0 END, CASE WHEN abs(f.anchor - v.y0) < 5 THEN f.line ELSE f.line + 1 END
+  FROM f JOIN v ON v.doc_id = f.doc_id AND v.i = f.i + 1),
+l AS (SELECT v.*, f.line FROM v JOIN f ON v.doc_id = f.doc_id AND v.i = f.i)"""
 
 SQL = {
     "redact_text": f"WITH l AS ({_LINES}) SELECT doc_id, line, {_STRUCK} AS text, CAST({_REMOVED} AS BIGINT) AS removed FROM l WHERE {_REMOVED} > 0",
@@ -347,7 +353,7 @@ b AS (SELECT *, len(regexp_extract_all(h1, '(?s)<!--.*?-->')) AS n2, regexp_repl
 SELECT page_id, CAST(length(h2) AS BIGINT) AS n_chars, md5(h2) AS html_md5, CAST(n1 AS BIGINT) AS javascript, CAST(0 AS BIGINT) AS actions,
        CAST(0 AS BIGINT) AS attachments, CAST(n2 AS BIGINT) AS hidden FROM b""",
     "restated_overlap": r"""
-WITH p AS (SELECT item_id, regexp_replace(lower(b.text), '[^\p{L}\p{N}]', '', 'g') AS s, regexp_replace(lower(substr(d.text, 1, 60)), '[^\p{L}\p{N}]', '', 'g') AS t
+WITH p AS (SELECT item_id, regexp_replace(lower(b.text), '[^\p{L}\p{N}]', '', 'g') AS s, regexp_replace(lower(d.text), '[^\p{L}\p{N}]', '', 'g') AS t
            FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
 s AS (SELECT item_id, unnest(string_split(s, '')) AS c FROM p), t AS (SELECT item_id, unnest(string_split(t, '')) AS c FROM p),
 sc AS (SELECT item_id, c, count(*) AS n FROM s WHERE c <> '' GROUP BY ALL), tc AS (SELECT item_id, c, count(*) AS m FROM t WHERE c <> '' GROUP BY ALL)
@@ -386,11 +392,11 @@ e AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN greatest(n - c - 5, 0) ELSE n - c
 SELECT doc_id, true AS range_sound, c + d = n AS covers_whole,
        sha256(unhex(substr(hex(x), 1, CAST(2 * b AS BIGINT)) || substr(hex(x), CAST(2 * c + 1 AS BIGINT), CAST(2 * d AS BIGINT)))) AS digest FROM e""",
     "layout_lines": f"""
-WITH w AS ({_WORDS}), l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) AS line FROM w)
+{_WORD_LINES}
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS n_chars, round(min(x0), 1) AS x0, round(min(y0), 1) AS y0,
        round(max(x0 + 20), 1) AS x1, round(max(y0 + 10), 1) AS y1 FROM l GROUP BY doc_id, line""",
     "layout_segments": f"""
-WITH w AS ({_WORDS}), l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) AS line FROM w),
+{_WORD_LINES},
 g AS (SELECT *, CASE WHEN x0 - lag(x0 + 20) OVER (PARTITION BY doc_id, line ORDER BY x0, text) < 9.0 THEN 0 ELSE 1 END AS fresh FROM l),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line ORDER BY x0, text ROWS UNBOUNDED PRECEDING) AS cell FROM g)
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(cell AS BIGINT) AS cell, min(x0) AS x0, max(x0 + 20) AS x1 FROM c GROUP BY doc_id, line, cell""",
@@ -405,7 +411,7 @@ SELECT CAST(p_size AS BIGINT) AS p_size, CAST(k AS BIGINT) AS k, round(arg_max(m
     "ruled_cells": """
 WITH x AS (SELECT * FROM (VALUES (1, 5, 10), (2, 10, 20), (3, 20, 40), (4, 40, 50)) t(c, a, b)),
 y AS (SELECT * FROM (VALUES (1, 0.0::DOUBLE, 0.02::DOUBLE), (2, 0.02::DOUBLE, 0.05::DOUBLE), (3, 0.05::DOUBLE, 0.1::DOUBLE)) t(r, a, b))
-SELECT CAST(y.r AS BIGINT) AS row, CAST(x.c AS BIGINT) AS "column", count(*) AS n FROM lineitem
+SELECT l_suppkey % 25 AS page, CAST(y.r AS BIGINT) AS row, CAST(x.c AS BIGINT) AS "column", count(*) AS n FROM lineitem
 JOIN x ON l_quantity >= x.a AND l_quantity < x.b JOIN y ON l_discount >= y.a AND l_discount < y.b GROUP BY ALL""",
     "table_markdown": "SELECT n_nationkey, '| ' || n_name || ' | a\\|b' || n_regionkey || ' |  |' AS line FROM nation",
     "table_csv": """SELECT n_nationkey, n_name || ',"say ""' || n_regionkey || '"", so",,"x' || chr(10) || 'y"' AS line FROM nation""",

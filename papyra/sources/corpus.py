@@ -19,7 +19,7 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the documents: doc_id, line from 1, text."""
+    """Lines of the documents: doc_id, line from 1, text. A document whose text is null has no lines."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select(
         "doc_id", (F.col("at") + 1).cast("int").alias("line"), "text"
@@ -27,7 +27,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str, lines: int = 10) -> DataFrame:
-    """Documents as pages of ``lines`` lines. Cut inside the row, so nothing is shuffled."""
+    """Documents as pages of ``lines`` lines. Cut inside the row, so nothing is shuffled. One whose text is null has none."""
     docs = table(spark, sf_dir, "documents")
     parts = F.split("text", "\n", -1)
     count = F.ceil(F.size(parts) / lines).cast("int")

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from typing import Any
 
 from ..functions.pagespec import page_numbers
+from ..functions.text import NO, YES
 from .crypt import Security, permissions
 from .pdf import Name, Page, Pdf, Ref, Stream, Unsupported, Word, text_string
 from .pdf_text import apply, bounds, interpret, invert, lines_of, reading_order, visual_matrix
@@ -607,10 +608,6 @@ def annotate(
 
 # --- forms ---------------------------------------------------------------------------------------------------------
 
-YES = ("true", "yes", "on", "1", "x", "checked")
-NO = ("false", "no", "off", "0", "", "unchecked")
-
-
 def truthy(value: str) -> bool | None:
     """Whether a value means yes or no."""
     v = value.strip().lower()
