@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import fresh
+
 LAST = -1
 
 
@@ -58,7 +60,7 @@ def parse(spec: str) -> list[Segment]:
 def select_pages(spec: str | None, total: Column) -> Column:
     """Selected page numbers, in order, for a document of ``total`` pages; fails the query on pages out of range."""
     parts = []
-    for s in parse(spec or "all"):
+    for s in parse("all" if spec is None else spec):
         start, end = (total if x == LAST else F.lit(x) for x in (s.start, s.end))
         least = F.greatest(start, end) if s.step == 1 else F.lit(1)
         bad = F.raise_error(F.concat(F.lit(f"page out of range in '{spec}': the document has "), total.cast("string")))
@@ -74,7 +76,7 @@ def select_pages(spec: str | None, total: Column) -> Column:
 def page_numbers(spec: str | None, total: int) -> list[int]:
     """Selected page numbers, in order, of one document of ``total`` pages."""
     out: list[int] = []
-    for s in parse(spec or "all"):
+    for s in parse("all" if spec is None else spec):
         start, end = (total if x == LAST else x for x in (s.start, s.end))
         if total < 1 or (s.step == 1 and max(start, end) > total):
             raise ValueError(f"page out of range in '{spec or 'all'}': the document has {total}")
@@ -89,7 +91,8 @@ def apply_spec(pages: DataFrame, spec: str | None, *, doc: str = "doc_id", page:
     """
     if spec is None:
         return pages.withColumn("pos", F.col(page).cast("int"))
-    totals = pages.groupBy(F.col(doc).alias("__doc")).agg(F.max(page).cast("int").alias("__total"))
-    picked = totals.select("__doc", F.posexplode(select_pages(spec, F.col("__total"))).alias("__at", "__page"))
-    joined = pages.join(picked, (F.col(doc) == F.col("__doc")) & (F.col(page) == F.col("__page")))
-    return joined.withColumn("pos", (F.col("__at") + 1).cast("int")).drop("__doc", "__at", "__page")
+    own, total, at, number = (fresh(n, pages) for n in ("__doc", "__total", "__at", "__page"))
+    totals = pages.groupBy(F.col(doc).alias(own)).agg(F.max(page).cast("int").alias(total))
+    picked = totals.select(own, F.posexplode(select_pages(spec, F.col(total))).alias(at, number))
+    joined = pages.join(picked, (F.col(doc) == F.col(own)) & (F.col(page) == F.col(number)))
+    return joined.withColumn("pos", (F.col(at) + 1).cast("int")).drop(own, at, number)

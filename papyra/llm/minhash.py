@@ -303,11 +303,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     release(found)
     found = _labelled(members, links)
     sizes = found.where("n > 2").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
+    mixed = materialise(
         sizes.groupBy(F.col("bucket").alias("b"))
         .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
         .where("labels > 1")
-        .select("b", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("asked"))
+        .select("b", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("asked")),
+        "mixed",
     )
     left = materialise(
         found.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "rep", "label", "main", "all", "asked"), "left"
@@ -320,7 +321,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .select("k", F.coalesce("component", "rep").alias("class_id"))
     )
     out = materialise(signed.select("id", "key").join(named, F.col("key") == F.col("k"), "left").select("id", "key", "class_id"), "classes")
-    release(signed, reps, several, members, texts, first, rest, found, left, *links)
+    release(signed, reps, several, members, texts, first, rest, found, mixed, left, *links)
     return out
 
 

@@ -32,6 +32,8 @@ FOLDS = 5
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker remembers.
 CACHE_WORDS = 60_000
+#: Features that are worked on at a time while a model is fitted.
+BLOCK_FEATURES = 1 << 19
 
 #: Category and the expression that is 1 for it, in the order of the chain. The labels know one category of toxicity
 #: only; what else they know, low quality, comes before it as the category that toxic texts often share. Labels with
@@ -89,21 +91,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(row: np.ndarray, index: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray, l2: float = 2e-5, steps: int = 60):
-    """Logistic regression over binary features and dense extra columns, by L-BFGS with a backtracking line search."""
-    n, e = len(y), extra.shape[1]
-    rate = float(np.clip(y.mean() if n else 0, 1e-4, 1 - 1e-4))
+def _blocks(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows that hold about BLOCK_FEATURES features."""
+    edges = np.unique(np.searchsorted(starts, np.arange(0, int(starts[-1]) + BLOCK_FEATURES, BLOCK_FEATURES)))
+    edges = np.unique(np.concatenate([[0], np.minimum(edges, len(starts) - 1), [len(starts) - 1]])).tolist()
+    return list(zip(edges, edges[1:]))
+
+
+def _scores(starts: np.ndarray, index: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per row the sum of the weights of its features."""
+    out = np.zeros(len(starts) - 1)
+    for a, b in _blocks(starts):
+        sums = np.concatenate([[0.0], np.cumsum(w[index[starts[a] : starts[b]]])])
+        out[a:b] = sums[starts[a + 1 : b + 1] - starts[a]] - sums[starts[a:b] - starts[a]]
+    return out
+
+
+def _fit(starts: np.ndarray, index: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray, used: np.ndarray, l2: float = 2e-5, steps: int = 60):
+    """Logistic regression over binary features and dense extra columns, by L-BFGS with a backtracking line search.
+
+    Row ``k`` holds the features ``index[starts[k]:starts[k + 1]]``; rows that are not ``used`` count for nothing. Rows
+    are gone over in blocks, so that what is held beside the matrix does not depend on its size.
+    """
+    n, e = int(used.sum()), extra.shape[1]
+    rate = float(np.clip(y[used].mean() if n else 0, 1e-4, 1 - 1e-4))
     w = np.zeros(n_features + e + 1)
     w[-1] = np.log(rate / (1 - rate))
-    if n == 0 or y.min() == y.max():
+    if n == 0 or y[used].min() == y[used].max():
         return w[:n_features], float(w[-1]), w[n_features:-1]
+    share, blocks, lengths = used / n, _blocks(starts), np.diff(starts)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        score = np.bincount(row, v[:n_features][index], n) + extra @ v[n_features:-1] + v[-1]
-        miss = (_sigmoid(score) - y) / n
-        g = np.concatenate([np.bincount(index, miss[row], n_features), extra.T @ miss, [miss.sum()]])
+        score = _scores(starts, index, v[:n_features]) + extra @ v[n_features:-1] + v[-1]
+        miss = (_sigmoid(score) - y) * share
+        g = np.zeros(n_features)
+        for a, b in blocks:
+            g += np.bincount(index[starts[a] : starts[b]], np.repeat(miss[a:b], lengths[a:b]), n_features)
+        g = np.concatenate([g, extra.T @ miss, [miss.sum()]])
         g[:-1] += l2 * v[:-1]
-        return float(np.mean(np.logaddexp(0, score) - y * score) + l2 / 2 * (v[:-1] ** 2).sum()), g
+        return float(((np.logaddexp(0, score) - y * score) * share).sum() + l2 / 2 * (v[:-1] ** 2).sum()), g
 
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     value, g = loss(w)
@@ -211,7 +237,7 @@ def _gain(positive: str, n_positive: int, n_all: int) -> Column:
 
 
 def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and number of every feature found in the sample, and the labels, in an order that does not depend on partitions."""
+    """Where the features of every sampled row begin, their numbers, and the labels, in an order that does not depend on partitions."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -224,19 +250,18 @@ def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[np.ndarray,
     table = kept.toArrow().combine_chunks().sort_by([("__id", "ascending")])
     labels = np.column_stack([table.column(y).to_numpy() for y in ys]) > 0.5
     found = table.column("found").combine_chunks()
-    index = found.flatten().to_numpy()
-    row = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(np.asarray(found.offsets)))
-    return row, index, labels
+    offsets = found.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], found.flatten().to_numpy(), labels
 
 
-def _fit_all(spark: SparkSession, model: Chain, row: np.ndarray, index: np.ndarray, labels: np.ndarray) -> None:
+def _fit_all(spark: SparkSession, model: Chain, starts: np.ndarray, index: np.ndarray, labels: np.ndarray) -> None:
     """Fit category after category; folds are taken by position in the sorted sample.
 
     The model of a category and those of its folds are fitted in as many tasks. What these share is the sample's
     matrix, bounded by the number of sampled rows and of features.
     """
     n, width = len(labels), len(model.vocabulary)
-    matrix = spark.sparkContext.broadcast((row, index, labels))
+    matrix = spark.sparkContext.broadcast((starts, index, labels))
     earlier = np.zeros((n, 0))
     for k in range(len(model.names)):
         before = spark.sparkContext.broadcast(earlier)
@@ -258,14 +283,13 @@ def _fold_fits(spark: SparkSession, matrix, before, k: int, width: int) -> list[
     """(fold, weights, intercept, links, predictions of the fold's rows) of category ``k``; fold -1 is the whole sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, index, labels = matrix.value
+        starts, index, labels = matrix.value
         earlier, y, n = before.value, labels[:, k].astype(float), len(labels)
         for batch in batches:
             for fold in batch.column(0).to_pylist():
                 rest = np.arange(n) % FOLDS != fold
-                used = rest[row]
-                w, b, links = _fit((np.cumsum(rest) - 1)[row[used]], index[used], width, earlier[rest], y[rest])
-                score = np.bincount(row, w[index], n) + earlier @ links + b
+                w, b, links = _fit(starts, index, width, earlier, y, rest)
+                score = _scores(starts, index, w) + earlier @ links + b
                 p = _sigmoid(score)[~rest]
                 yield pa.RecordBatch.from_pydict(
                     {"fold": [fold], "w": [w.tobytes()], "b": [b], "links": [links.tolist()], "p": [p.tobytes()]},

@@ -99,6 +99,8 @@ def call(spark: SparkSession, tool: str, args: dict[str, Any], *, root: str | No
     names = [p.name for p in python.signature(f).parameters.values()]
     free = any(p.kind is p.VAR_KEYWORD for p in python.signature(f).parameters.values())
     given = {("with_" if k == "with" else k): v for k, v in args.items() if k not in ("input", "inputs", "output", "out_dir", "password", "dry_run")}
+    if names[:1] == ["sources"]:
+        given.pop("markdown", None)
     if unknown := [k for k in given if k not in names and not free]:
         raise Refused(f"unknown argument {unknown[0]}")
     for k in ("cert", "key", "trust"):

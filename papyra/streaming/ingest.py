@@ -38,7 +38,7 @@ def ingest(files: DataFrame, tables: list[str], folder: str, checkpoint: str, *,
         done = batch.select("doc_id")
         for k, table in enumerate(tables):
             parse(batch, table).write.mode("overwrite").parquet(f"{folder}/{table}/batch={number}")
-            progress(done, table, k + 1, len(tables)).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}/step={k + 1}")
+            progress(done, table, k + 1, len(tables)).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}/part={k + 1}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

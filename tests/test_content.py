@@ -1,6 +1,6 @@
 from collections import Counter
 
-from papyra.llm._common import table
+from papyra.sources.corpus import table
 from papyra.plans import content
 
 
