@@ -142,6 +142,13 @@ class Font:
         if isinstance(stream, Stream):
             self._to_unicode(pdf.decode(stream))
         self._codes: dict[str, bytes] | None = None
+        self._tables: tuple[np.ndarray, list[str]] | None = None
+
+    def tables(self) -> tuple[np.ndarray, list[str]]:
+        """Widths and texts of all codes of one byte."""
+        if self._tables is None:
+            self._tables = np.array([self.width(k) for k in range(256)]) / 1000.0, [self.text(k) for k in range(256)]
+        return self._tables
 
     def _encoding(self, pdf: Pdf, x: Any) -> None:
         base = pdf.get(x.get("BaseEncoding")) if isinstance(x, dict) else x
@@ -257,6 +264,20 @@ class Glyph:
     drawn: str | None = None
 
 
+@dataclass
+class Run:
+    """The glyphs of one string as arrays: what ``Glyph`` says of each."""
+
+    texts: list[str]
+    boxes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    along: tuple[float, float]
+    size: float
+    font: Font
+    invisible: bool
+
+
 @dataclass
 class Operation:
     """An operator with its operands and its place in the stream."""
@@ -314,7 +335,7 @@ class Interpreter:
         self.base, width, height = visual_matrix(page)
         self.out = Layout(width, height)
         self.fonts: dict[Any, Font] = {}
-        self.glyphs: list[Glyph | None] = []
+        self.glyphs: list[Run | Glyph | None] = []
         self.stated: list[list | None] = []
 
     def font(self, resources: dict[str, Any], name: str) -> Font:
@@ -344,10 +365,44 @@ class Interpreter:
                 code, s.font.text(code), [min(xs), min(ys), max(xs), max(ys)], apply(trm, 0, 0), apply(trm, w, 0), along, size, s.font, s.mode == 3
             )
 
+    def run_of(self, raw: bytes, s: State) -> Run | None:
+        """The glyphs of a string at once; None where they are too small to count. The pen moves along."""
+        font = s.font
+        if font.wide:
+            codes = np.frombuffer(raw[: len(raw) // 2 * 2], ">u2")
+            widths, texts = np.array([font.width(k) for k in codes.tolist()]) / 1000.0, [font.text(k) for k in codes.tolist()]
+        else:
+            codes = np.frombuffer(raw, np.uint8)
+            table, names = font.tables()
+            widths, texts = table[codes], [names[k] for k in raw]
+        steps = (widths * s.size + s.tc) * s.th
+        if s.tw and not font.wide:
+            steps = steps + np.where(codes == 32, s.tw * s.th, 0.0)
+        x = np.concatenate([[0.0], np.cumsum(steps)])
+        a, b, c, d, e, f = multiply(s.tm, multiply(s.ctm, self.base))
+        s.tm = multiply((1, 0, 0, 1, float(x[-1]), 0), s.tm)
+        size = abs(s.size) * math.hypot(c, d)
+        if size < SMALLEST or not len(codes):
+            return None
+        from_x = x[:-1]
+        starts = np.stack([a * from_x + c * s.rise + e, b * from_x + d * s.rise + f], axis=1)
+        wide = widths * s.size * s.th
+        ends = starts + np.stack([a * wide, b * wide], axis=1)
+        up = np.array([c, d]) * s.size
+        corners = np.stack([starts - DESCENT * up, starts + ASCENT * up, ends - DESCENT * up, ends + ASCENT * up])
+        em = s.size * s.th
+        length = math.hypot(a * em, b * em) or 1e-9
+        boxes = np.concatenate([corners.min(axis=0), corners.max(axis=0)], axis=1)
+        return Run(texts, boxes, starts, ends, (a * em / length, b * em / length), size, font, s.mode == 3)
+
     def show(self, raw: bytes, s: State) -> None:
         """Keep the glyphs of a string, with the text that is stated for them."""
         if s.font is None:
             return
+        if all(x is None for x in self.stated):
+            if raw and (run := self.run_of(raw, s)) is not None:
+                self.glyphs.append(run)
+            return
         for g in self.shown(raw, s):
             if g is None:
                 continue
@@ -364,7 +419,7 @@ class Interpreter:
 
     def _extend(self, g: Glyph) -> None:
         last = self.glyphs[-1] if self.glyphs else None
-        if last is not None:
+        if isinstance(last, Glyph):
             xs, ys = (g.start[0], g.end[0]), (g.start[1], g.end[1])
             b = last.box
             last.box = [min(b[0], *xs), min(b[1], *ys), max(b[2], *xs), max(b[3], *ys)]
@@ -515,25 +570,49 @@ class Path:
                     self.run.rule(((x0 + x1) / 2, y0), ((x0 + x1) / 2, y1))
 
 
-def words_of(glyphs: list[Glyph | None]) -> list[Word]:
-    """Glyphs in drawing order as words; None, as white space leaves it, ends a word.
+def words_of(pieces: list[Run | Glyph | None]) -> list[Word]:
+    """Glyphs in drawing order as words; white space, and None, which stands for it, ends a word.
 
-    All neighbours are compared at once. Only a word whose glyphs differ in size is walked, since a glyph is measured
+    All neighbours are compared at once. Only where glyphs differ in size are words walked, since a glyph is measured
     against the size of its word's first one.
     """
-    kept = [g for g in glyphs if g is not None]
-    if not kept:
+    texts: list[str] = []
+    drawn: dict[int, str] = {}
+    arrays: list[tuple] = []
+    fonts: list[Font] = []
+    position: list[np.ndarray] = []
+    at = 0
+    for p in pieces:
+        if p is None:
+            at += 1
+            continue
+        if isinstance(p, Glyph):
+            if p.drawn is not None:
+                drawn[len(texts)] = p.drawn
+            texts.append(p.text)
+            arrays.append((np.array([p.box]), np.array([p.start]), np.array([p.end]), np.array([[*p.along, p.size, p.invisible, len(fonts)]])))
+            position.append(np.array([at]))
+            at += 1
+        else:
+            kept = [k for k, t in enumerate(p.texts) if t.strip()]
+            if kept:
+                texts += [p.texts[k] for k in kept]
+                state = np.broadcast_to(np.array([*p.along, p.size, p.invisible, len(fonts)]), (len(kept), 5))
+                arrays.append((p.boxes[kept], p.starts[kept], p.ends[kept], state))
+                position.append(np.array(kept) + at)
+            at += len(p.texts)
+        fonts.append(p.font)
+    if not texts:
         return []
-    n = len(kept)
-    position = np.flatnonzero([g is not None for g in glyphs])
-    start, end, along = (np.array([getattr(g, k) for g in kept]) for k in ("start", "end", "along"))
-    size = np.array([g.size for g in kept])
-    unseen = np.array([g.invisible for g in kept])
+    boxes, start, end, state = (np.concatenate(x) for x in zip(*arrays))
+    place = np.concatenate(position)
+    along, size, unseen, owner = state[:, :2], state[:, 2], state[:, 3], state[:, 4].astype(int)
+    n = len(texts)
     step = start[1:] - end[:-1]
     ahead = (step * along[1:]).sum(axis=1)
     aside = np.abs(step[:, 0] * along[1:, 1] - step[:, 1] * along[1:, 0])
     near = (ahead < NEAR * size[1:]) & (ahead > OVERLAP * size[1:]) & (aside < ASIDE * size[1:])
-    joins = near & (unseen[1:] == unseen[:-1]) & (np.diff(position) == 1)
+    joins = near & (unseen[1:] == unseen[:-1]) & (np.diff(place) == 1)
     alike = np.abs(np.diff(size)) < SAME_SIZE * size[1:]
     new = np.concatenate([[True], ~(joins & alike)])
     first = np.flatnonzero(new)
@@ -544,23 +623,18 @@ def words_of(glyphs: list[Glyph | None]) -> list[Word]:
             new[k] = not joins[k - 1] or abs(anchor - size[k]) >= SAME_SIZE * size[k]
             anchor = size[k] if new[k] else anchor
         first = np.flatnonzero(new)
-    boxes = np.array([g.box for g in kept])
-    low, high = np.minimum.reduceat(boxes[:, :2], first), np.maximum.reduceat(boxes[:, 2:], first)
+    low, high = np.minimum.reduceat(boxes[:, :2], first).tolist(), np.maximum.reduceat(boxes[:, 2:], first).tolist()
+    listed, starts, ends, sizes = boxes.tolist(), start.tolist(), end.tolist(), size.tolist()
     out = []
     for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n])):
-        own = kept[a:b]
-        at, parts = 0, []
-        for g in own:
-            parts.append((at, g.text, g.box))
-            at += len(g.text)
-        drawn = None if all(g.drawn is None for g in own) else "".join(g.text if g.drawn is None else g.drawn for g in own)
-        font = own[0].font
-        out.append(
-            Word(
-                "".join(g.text for g in own), *low[k].tolist(), *high[k].tolist(), own[0].size, font.name, own[0].invisible, font.bold, font.italic, drawn,
-                parts, own[0].start, own[-1].end,
-            )
-        )
+        own = texts[a:b]
+        offset, parts = 0, []
+        for t, box in zip(own, listed[a:b]):
+            parts.append((offset, t, box))
+            offset += len(t)
+        seen = "".join(drawn.get(j, texts[j]) for j in range(a, b)) if drawn and any(j in drawn for j in range(a, b)) else None
+        font = fonts[owner[a]]
+        out.append(Word("".join(own), *low[k], *high[k], sizes[a], font.name, bool(unseen[a]), font.bold, font.italic, seen, parts, tuple(starts[a]), tuple(ends[b - 1])))
     return out
 
 
