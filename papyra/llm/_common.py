@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -62,19 +64,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: The setting that bounds Arrow batches.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold BATCH_BYTES at most, so that a task's memory does not grow with its texts."""
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, Arrow batches hold BATCH_BYTES at most, so that a task's memory does not grow with its texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
+    """The same for what runs inside."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    bound_batches(spark)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(name)
+            spark.conf.unset(BATCH_SETTING)
         else:
-            spark.conf.set(name, before)
+            spark.conf.set(BATCH_SETTING, before)
 
 
 def release(*frames: DataFrame) -> None:
@@ -86,6 +96,32 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that gives its memory back to the system when its task ends.
+
+    Workers outlive their tasks and wait for the next one; what allocators keep for themselves would otherwise add up
+    over the workers of all stages.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return free memory of Arrow's pool and, where the C library can, of the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a shared-folder URL and the path in it."""
     if url.startswith("file:"):

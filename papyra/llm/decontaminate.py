@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _WORD_BYTES, materialise, raw_utf8, release, slices_of
+from ._common import _WORD_BYTES, lean, materialise, raw_utf8, release, slices_of
 
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned block by block.
 BLOCK_BYTES = 16 << 20
@@ -235,7 +235,7 @@ def _scan(docs: DataFrame, index: WindowIndex, text_col: str) -> DataFrame:
             T.StructField("n_nameless", T.LongType()),
         ]
     )
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("__hits", struct)]))
+    return docs.mapInArrow(lean(run), T.StructType([*fields, T.StructField("__hits", struct)]))
 
 
 def report(
@@ -305,7 +305,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return found.mapInArrow(run, schema).drop("__hits")
+    return found.mapInArrow(lean(run), schema).drop("__hits")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, release, slices
+from ._common import lean, materialise, release, slices
 from .components import components
 
 THRESHOLD = 0.9
@@ -206,7 +206,7 @@ def _link_ranks(rows: DataFrame, index: MultiIndex, ids: np.ndarray, queries: np
                 found[rank] = found.get(rank, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["rank", "n"])
 
-    by_rank = rows.select("rep", "vec").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    by_rank = rows.select("rep", "vec").mapInArrow(lean(count), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
     shared.destroy()
     return {r["rank"]: r["n"] for r in by_rank}
 
@@ -242,7 +242,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "vec"])
 
     one_each = usable.groupBy("id").agg(F.min("v").alias("v"))
-    packed = materialise(one_each.mapInArrow(pack, "id long, vec binary"), "vectors")
+    packed = materialise(one_each.mapInArrow(lean(pack), "id long, vec binary"), "vectors")
     classes = materialise(
         packed.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("rep", "weight", "vec"), "classes"
     )
@@ -296,7 +296,7 @@ def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, thr
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=["rep", "weight", "vec", "cells"])
 
-    placed = materialise(classes.mapInArrow(place, "rep long, weight long, vec binary, cells array<long>"), "placed")
+    placed = materialise(classes.mapInArrow(lean(place), "rep long, weight long, vec binary, cells array<long>"), "placed")
     home = F.element_at("cells", 1)
     # At most one row per cell of the grid, whose size is bounded by MOST_CODEWORDS squared: that allows the broadcasts.
     large = placed.groupBy(home.alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
@@ -343,7 +343,7 @@ def _links(classes: DataFrame, index: MultiIndex, dtype: np.dtype, dim: int, thr
         if group:
             yield from group.result()
 
-    found = materialise(dealt.mapInArrow(compare, "rep long, n long, root long"), "block-links")
+    found = materialise(dealt.mapInArrow(lean(compare), "rep long, n long, root long"), "block-links")
     release(placed)
     return found
 

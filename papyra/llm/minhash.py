@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import _WORD_BYTES, materialise, raw_utf8, release, slices_of
+from ._common import _WORD_BYTES, lean, materialise, raw_utf8, release, slices_of
 from .components import components
 
 SHINGLE = 5
@@ -272,7 +272,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["id", "key", "bands"])
 
-    signed = materialise(rows.mapInArrow(sign, "id long, key binary, bands array<long>"), "signed")
+    signed = materialise(rows.mapInArrow(lean(sign), "id long, key binary, bands array<long>"), "signed")
     reps = materialise(
         signed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")).where("rep is not null"), "reps"
     )
@@ -365,7 +365,7 @@ def _verify_stars(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
                     out.append((centre, rep))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["centre", "rep"])
 
-    return materialise(rows.mapInArrow(run, "centre long, rep long"), "verified")
+    return materialise(rows.mapInArrow(lean(run), "centre long, rep long"), "verified")
 
 
 def _verify_rest(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -399,7 +399,7 @@ def _verify_rest(left: DataFrame, texts: DataFrame, similarity: float) -> DataFr
                     out += group.meet(rep, label, bag)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["centre", "rep"])
 
-    return materialise(dealt.mapInArrow(run, "centre long, rep long"), "verified")
+    return materialise(dealt.mapInArrow(lean(run), "centre long, rep long"), "verified")
 
 
 class _Asked:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, slices_of
+from ._common import lean, materialise, slices_of
 from .tokens import encoder, with_end
 
 SIZE = 2048
@@ -54,7 +54,7 @@ def cut(
                 [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lean(run), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, *, size: int = SIZE, **how) -> DataFrame:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return ranked(pieces, counts).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked(pieces, counts).mapInArrow(lean(run), PIECES + ", sequence_id long, offset long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, scratch, slices_of
+from ._common import filesystem, lean, materialise, scratch, slices_of
 from .tokens import encoder, with_end
 
 # Fixed values of the zstd seekable format.
@@ -197,7 +197,7 @@ def write_shards(
                 {"shard": [shard], "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [total], "n_bytes": [writer.size]}
             )
 
-    return materialise(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return materialise(ordered.mapInArrow(lean(run), MANIFEST), "token-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -231,7 +231,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
                     )
 
     shards = files.repartition(max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism)), "shard")
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(spark: SparkSession, manifest: DataFrame, folder: str, wanted: list[int]) -> DataFrame:
@@ -247,7 +247,7 @@ def fetch(spark: SparkSession, manifest: DataFrame, folder: str, wanted: list[in
                     for r, ids in shard.tokens(rows):
                         yield pa.RecordBatch.from_pydict({"doc_id": [int(shard.ids[r])], "ids": [ids.astype(np.int32).tolist()]}, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return manifest.select("path", "n_bytes").mapInArrow(run, "doc_id long, ids array<int>")
+    return manifest.select("path", "n_bytes").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, raw_utf8, release, slices, words
+from ._common import lean, materialise, raw_utf8, release, slices, words
 
 #: Labelled rows that models are fitted on, at most; the ones with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -206,7 +206,7 @@ def fit_chain(
     if n_all:
         counted = (
             sample.select("__id", "__text", *ys)
-            .mapInArrow(count, "feature binary, n long" + positives)
+            .mapInArrow(lean(count), "feature binary, n long" + positives)
             .groupBy("feature")
             .agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(names))])
             .where(F.col("n") >= LEAST_ROWS)
@@ -246,7 +246,7 @@ def _matrix(sample: DataFrame, model: Chain, ys: list[str]) -> tuple[np.ndarray,
                 [batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.int32()))], names=["__id", *ys, "found"]
             )
 
-    kept = sample.select("__id", "__text", *ys).mapInArrow(find, "__id long, " + ", ".join(f"{y} double" for y in ys) + ", found array<int>")
+    kept = sample.select("__id", "__text", *ys).mapInArrow(lean(find), "__id long, " + ", ".join(f"{y} double" for y in ys) + ", found array<int>")
     table = kept.toArrow().combine_chunks().sort_by([("__id", "ascending")])
     labels = np.column_stack([table.column(y).to_numpy() for y in ys]) > 0.5
     found = table.column("found").combine_chunks()
@@ -297,7 +297,7 @@ def _fold_fits(spark: SparkSession, matrix, before, k: int, width: int) -> list[
                 )
 
     tasks = spark.range(-1, FOLDS, 1, FOLDS + 1)
-    found = tasks.mapInArrow(run, "fold long, w binary, b double, links array<double>, p binary").toArrow()
+    found = tasks.mapInArrow(lean(run), "fold long, w binary, b double, links array<double>, p binary").toArrow()
     return sorted(zip(*(c.to_pylist() for c in found.columns)))
 
 
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Chain, *, text_col: str = "text") -> DataFrame
             )
         model.seen.clear()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, *, category: str = "toxic", **how) -> DataFrame:
