@@ -3,7 +3,8 @@
 The reader goes from member to member (gzip) or from version line to version line (plain). Where a check
 fails - the gzip checksum, the record's syntax, its lengths or its digests - it searches on for the next
 place at which a whole record passes all checks, takes the records from there on, and reports the bytes
-between as a quarantined gap.
+between as a quarantined gap. A damaged member is unpacked as far as it goes and searched likewise, so one bad
+record, a wrong checksum or a cut-off end costs no other record of the member.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, scratch, slices
+from ._common import filesystem, lean, materialise, scratch, slices
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -94,7 +95,8 @@ class Record:
 
 @dataclass
 class Gap:
-    """Bytes in which no record passed the checks, and the check that failed first."""
+    """Bytes in which no record passed the checks, and the check that failed first. A gap inside a member has no length
+    in the archive; its reason says which plain bytes it takes."""
 
     offset: int
     length: int
@@ -144,6 +146,8 @@ class Archive:
     """Records and gaps of one archive, read forward from a seekable source."""
 
     CHUNK = 1 << 18
+    #: Compressed bytes that are unpacked at a time in a damaged member: at most so many are lost before the damage.
+    PIECE = 256
 
     def __init__(self, source, size: int):
         self.source, self.size = source, size
@@ -171,28 +175,59 @@ class Archive:
                     raise Damaged("member holds no record")
         return b"".join(parts), p - len(unpack.unused_data)
 
+    def _one(self, data: bytes, p: int, at: int, length: int) -> tuple[Record, int]:
+        """The record at ``p`` of a member's plain bytes, and where the next one begins."""
+        if not data.startswith(VERSION, p):
+            raise Damaged("no version line")
+        head_end = data.find(END, p)
+        if head_end < 0:
+            raise Damaged("headers cut off")
+        headers = _headers(data[data.index(b"\r\n", p) + 2 : head_end])
+        if not re.fullmatch(r"\d+", headers.get("content-length", "")):
+            raise Damaged("no Content-Length")
+        a, b = head_end + 4, head_end + 4 + int(headers["content-length"])
+        if data[b : b + 4] != END:
+            raise Damaged("record does not end where its length says")
+        return _checked(at, length, headers, data[a:b]), b + 4
+
     def _split(self, data: bytes, at: int, end: int) -> list[Record]:
         """All records of a member."""
         out, p = [], 0
         while p < len(data):
-            if not data.startswith(VERSION, p):
-                raise Damaged("no version line")
-            head_end = data.find(END, p)
-            if head_end < 0:
-                raise Damaged("headers cut off")
-            line_end = data.index(b"\r\n", p)
-            headers = _headers(data[line_end + 2 : head_end])
-            if not re.fullmatch(r"\d+", headers.get("content-length", "")):
-                raise Damaged("no Content-Length")
-            a, b = head_end + 4, head_end + 4 + int(headers["content-length"])
-            if data[b : b + 4] != END:
-                raise Damaged("record does not end where its length says")
-            out.append(_checked(at, end - at, headers, data[a:b]))
-            p = b + 4
+            record, p = self._one(data, p, at, end - at)
+            out.append(record)
         if not out:
             raise Damaged("empty member")
         return out
 
+    def _salvage(self, at: int) -> list[Record | Gap]:
+        """What a damaged member still holds: its records, of no length in the archive, and the gaps between them."""
+        unpack, parts, p = zlib.decompressobj(31), [], at
+        while not unpack.eof and (chunk := self._read(p, self.PIECE)):
+            try:
+                parts.append(unpack.decompress(chunk))
+            except zlib.error:
+                break
+            p += len(chunk)
+            if p == at + len(chunk) and not (b"".join(parts) + VERSION).startswith(VERSION):
+                return []
+        data, out, p = b"".join(parts), [], 0
+        while p < len(data):
+            try:
+                record, p = self._one(data, p, at, 0)
+                out.append(record)
+            except Damaged as e:
+                q, found = p, None
+                while found is None and (q := data.find(VERSION, q + 1)) >= 0:
+                    try:
+                        found = self._one(data, q, at, 0)
+                    except Damaged:
+                        continue
+                end = q if found else len(data)
+                out.append(Gap(at, 0, f"{e}; plain bytes {p} to {end} of the member"))
+                p = end
+        return out if any(isinstance(x, Record) for x in out) else []
+
     def _plain(self, at: int) -> Record:
         """The record whose version line is at ``at``."""
         head = b""
@@ -238,26 +273,32 @@ class Archive:
                     yield at + m.start()
             at += self.CHUNK
 
+    def _try(self, at: int) -> tuple[list[Record | Gap], int | None, str]:
+        """Records at a place and where they end; or what can be salvaged there, no end, and why."""
+        try:
+            return *self._at(at), ""
+        except Damaged as e:
+            packed = self._read(at, len(GZIP_MAGIC)) == GZIP_MAGIC
+            return self._salvage(at) if packed else [], None, str(e)
+
     def __iter__(self) -> Iterator[Record | Gap]:
-        at = 0
+        at, found = 0, None
         while at < self.size:
-            try:
-                records, end = self._at(at)
-            except Damaged as e:
-                found = None
-                for q in self._candidates(at + 1):
-                    try:
-                        found = (*self._at(q), q)
-                        break
-                    except Damaged:
-                        continue
-                if found is None:
-                    yield Gap(at, self.size - at, str(e))
-                    return
-                records, end, q = found
-                yield Gap(at, q - at, str(e))
-            yield from records
-            at = end
+            items, end, reason = found or self._try(at)
+            found = None
+            yield from items
+            if end is not None:
+                at = end
+                continue
+            for q in self._candidates(at + 1):
+                found = self._try(q)
+                if found[0]:
+                    break
+            else:
+                yield Gap(at, self.size - at, reason)
+                return
+            yield Gap(at, q - at, reason)
+            at = q
 
 
 def write_archives(
@@ -339,7 +380,7 @@ def write_archives(
             names=["path", "n_bytes", "n_records"],
         )
 
-    return materialise(marked.mapInArrow(run, MANIFEST), "warc-manifest")
+    return materialise(marked.mapInArrow(lean(run), MANIFEST), "warc-manifest")
 
 
 def read_archives(files: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
@@ -379,7 +420,7 @@ def read_archives(files: DataFrame, folder: str, *, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     spread = files.select("path", "n_bytes").repartition(max(1, min(files.count(), 4 * files.sparkSession.sparkContext.defaultParallelism)), "path")
-    return spread.mapInArrow(run, RECORDS)
+    return spread.mapInArrow(lean(run), RECORDS)
 
 
 def gap_log(records: DataFrame) -> DataFrame:

@@ -57,6 +57,25 @@ def test_mixed_and_hopeless_archives():
     assert (gap.offset, gap.length) == (0, 700_000)
 
 
+def test_records_inside_a_damaged_member_are_recovered():
+    bad = RECORDS[7].replace(b"foo", b"bar", 1)
+    plain = RECORDS[5] + bad + RECORDS[6] + RECORDS[8]
+    one = gzip.compress(plain, mtime=0)
+    good = lambda xs: [RECORDS.index(W.record_bytes("response", x.headers["warc-record-id"].strip("<>"), "http://x/ ü\n", x.payload, digest(x.payload))) for x in xs if isinstance(x, W.Record)]
+    found = read(one + gzip.compress(RECORDS[9], mtime=0))
+    assert good(found) == [5, 6, 8, 9] and sum(x.length for x in found) == len(one) + len(gzip.compress(RECORDS[9], mtime=0))
+    [inner] = [x for x in found if isinstance(x, W.Gap) and not x.length]
+    assert inner.reason == f"wrong block digest; plain bytes {len(RECORDS[5])} to {len(RECORDS[5] + bad)} of the member"
+    wrong_sum = bytearray(gzip.compress(RECORDS[5] + RECORDS[6], mtime=0))
+    wrong_sum[-8] ^= 1
+    assert good(read(bytes(wrong_sum) + bytes(wrong_sum) + RECORDS[2])) == [5, 6, 5, 6, 2]
+    r = random.Random(4)
+    noise = [W.record_bytes("response", f"urn:x-page:{k}", None, p := r.randbytes(3000), digest(p)) for k in range(30)]
+    packed = gzip.compress(b"".join(noise), mtime=0)
+    cut = read(packed[: len(packed) // 2])
+    assert 13 <= sum(isinstance(x, W.Record) for x in cut) <= 15 and cut[-1].length == len(packed) // 2
+
+
 def test_wrong_digest_is_quarantined():
     bad = RECORDS[7].replace(b"foo", b"bar", 1)
     found = read(RECORDS[6] + bad + RECORDS[8])
