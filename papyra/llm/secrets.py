@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import scratch
+from ._common import materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -137,11 +137,13 @@ def findings(
     versions_now = [r.version for r in rules]
     current = F.filter("findings", lambda x: x["version"].isin(versions_now))
     spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
-    known = (
+    # Written, so that the join is dealt anew and the copies of a hot blob can be split there.
+    known = materialise(
         read_ledger(versions.sparkSession, ledger)
         .select(F.col("blob").alias("__blob"), F.transform(current, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["rule"].alias("rule"))).alias("spans"))
         .groupBy("__blob")
-        .agg(spans.alias("found"))
+        .agg(spans.alias("found")),
+        "found-secrets",
     )
     paths = _named(versions, text_col, F.col(path_col).alias("__path")).select("__path", F.col("blob"))
     return paths.join(known, F.col("blob") == F.col("__blob"), "left").select(F.col("__path").alias(path_col), "found")
