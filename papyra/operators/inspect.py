@@ -42,6 +42,7 @@ DESCRIPTIONS = {
     "trailing_data": "data after the end of the PDF",
     "shadowed_objects": "object numbers defined more than once in a single revision, so readers may disagree on the content",
     "hidden_text": "text that is extracted but that a person looking at the page does not see",
+    "resource_exhaustion": "processing the file ran out of time, as files built for that do; a very heavy honest file does the same",
     "unparseable": "the file could not be opened as a PDF; only its bytes were inspected",
     "encrypted_unread": "the file is encrypted and was not opened; only names outside its encrypted and packed parts were inspected",
 }
@@ -168,9 +169,11 @@ def raw_findings(files: DataFrame, named: DataFrame) -> DataFrame:
     unread = by_name.join(named.select(c("doc_id").alias("d"), c("kind").alias("k")).distinct(), (c("doc_id") == c("d")) & (c("kind") == c("k")), "left_anti")
     structure = S.parse(files, "structure").where("cyclic").select("doc_id", F.lit("cyclic_structure").alias("kind"), F.lit("medium").alias("severity"))
     state = S.parse(files, "documents").where("error is not null")
+    late = c("error").startswith(S.OUT_OF_TIME)
     closed = state.select(
-        "doc_id", F.when(c("encrypted"), "encrypted_unread").otherwise("unparseable").alias("kind"), F.when(c("encrypted"), "info").otherwise("medium").alias("severity")
-    )
+        "doc_id", F.when(c("encrypted"), "encrypted_unread").when(late, "resource_exhaustion").otherwise("unparseable").alias("kind"),
+        F.when(c("encrypted"), "info").otherwise("medium").alias("severity"),
+    )
     bare = structure.unionByName(closed).withColumns({"obj": F.lit(None).cast("int"), "sample": none, "times": F.lit(1).cast("long")})
     return plain.unionByName(hidden).unionByName(unread).unionByName(bare)
 
@@ -254,6 +257,12 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def scanner_signature(line: Column | str) -> Column:
+    """The name in a line of a virus scanner's output, ``path: Name FOUND``; null of any other line."""
+    found = F.regexp_extract(T.col(line), r"^.*: (.+) FOUND\s*$", 1)
+    return F.when(found != "", found)
+
+
 # --- cleaning ------------------------------------------------------------------------------------------------------
 
 # Keys that exist only to hold what a group covers.

@@ -131,3 +131,13 @@ def tsv_lines(rows: DataFrame) -> DataFrame:
         F.max(F.col("left") + F.col("width")).alias("x1"),
         F.max(F.col("top") + F.col("height")).alias("y1"),
     )
+
+
+def recognised_text(lines: DataFrame) -> DataFrame:
+    """Text of recognised lines (doc_id, page, line, paragraph, text): a blank line where the paragraph changes."""
+    order = Window.partitionBy("doc_id", "page").orderBy("line")
+    before = F.lag("paragraph").over(order)
+    lead = F.when(F.lag("line").over(order).isNull(), "").when(before.eqNullSafe(F.col("paragraph")), "\n").otherwise("\n\n")
+    led = lines.select("doc_id", "page", "line", F.concat(lead, F.coalesce("text", F.lit(""))).alias("__led"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "__led"))), lambda x: x["__led"])
+    return led.groupBy("doc_id", "page").agg(F.array_join(parts, "").alias("text"))

@@ -7,7 +7,10 @@ column. Only the asked table is made, and a file is never split; its bytes leave
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -23,6 +26,9 @@ from .pdf_text import interpret, line_text, lines_of, running_text
 
 #: Rows that leave Python in one batch.
 BATCH_ROWS = 4096
+#: Seconds that one table of one file may take; a file that takes longer has that as its error.
+SECONDS = 300.0
+OUT_OF_TIME = "ran out of time"
 
 _BOX = "x0 double, y0 double, x1 double, y1 double"
 
@@ -207,7 +213,7 @@ def open_pdf(data: bytes, password: str | None) -> Pdf:
     """A parsed file, or one of the errors that stand for a file which cannot be read."""
     try:
         return Pdf(data, password or "")
-    except (WrongPassword, Damaged, Unsupported):
+    except (WrongPassword, Damaged, Unsupported, _OutOfTime):
         raise
     except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
         raise Damaged("not a valid PDF") from error
@@ -218,8 +224,33 @@ def _given(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content"), password.alias("password"))
 
 
-def parse(files: DataFrame, table: str) -> DataFrame:
-    """One of ``TABLES`` with doc_id. Null content is an empty file; other columns of ``files`` are left out."""
+class _OutOfTime(ValueError):
+    """A file took longer than it may."""
+
+
+@contextmanager
+def deadline(seconds: float) -> Iterator[None]:
+    """Inside, work that takes longer is broken off. Only where the interpreter can be interrupted, in its main thread."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: Any) -> None:
+        raise _OutOfTime(f"{OUT_OF_TIME} after {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse(files: DataFrame, table: str, *, seconds: float = SECONDS) -> DataFrame:
+    """One of ``TABLES`` with doc_id. Null content is an empty file; other columns of ``files`` are left out.
+
+    A file that takes longer than ``seconds`` gives no rows but the one of the documents table that says so."""
     columns, make = TABLES[table]
     schema = T.StructType.fromDDL("doc_id string, " + columns)
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
@@ -228,10 +259,12 @@ def parse(files: DataFrame, table: str) -> DataFrame:
 
     def rows(doc: str, data: bytes, password: str | None) -> Iterator[dict[str, Any]]:
         try:
-            yield from make(data if raw else open_pdf(data, password))
+            with deadline(seconds):
+                found = list(make(data if raw else open_pdf(data, password)))
+            yield from found
         except (WrongPassword, Damaged, Unsupported, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
             if table == "documents":
-                known = isinstance(error, (WrongPassword, Damaged, Unsupported))
+                known = isinstance(error, (WrongPassword, Damaged, Unsupported, _OutOfTime))
                 yield {"size_bytes": len(data), "encrypted": isinstance(error, WrongPassword) or None, "error": str(error) if known else "not a valid PDF"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

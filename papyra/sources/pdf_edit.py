@@ -425,7 +425,8 @@ def stamp(
             name = add_resource(resources, "XObject", "PapyraIm", picture[0])
             ops += _tuple(taken[2] - taken[0], 0, 0, taken[3] - taken[1], taken[0], vh - taken[3]) + b" cm\n/" + name.encode() + b" Do\n"
         elif qr is not None:
-            raise Unsupported("QR codes are not available in this build")
+            taken = box(width or 80.0, width or 80.0)
+            ops += _qr_ops(qr, taken[0], vh - taken[3], taken[2] - taken[0])
         else:
             name = add_resource(resources, "Font", "PapyraF", font)
             shown = text.replace("{pages}", str(len(pages))).replace("{page}", str(n))
@@ -459,6 +460,62 @@ def stamp(
     return save(pdf)[0], {"stamped_pages": wanted, "placed_by": report}
 
 
+def _qr_ops(content: str, x: float, y: float, side: float) -> bytes:
+    """A QR code on white, its dark modules as rectangles along the rows."""
+    from .qr import rectangles
+
+    edge, runs = rectangles(content.encode("utf-8"))
+    step = side / edge
+    out = b"1 g\n" + _tuple(x, y, side, side) + b" re\nf\n0 g\n"
+    return out + b"".join(_tuple(x + c * step, y + (edge - r - 1) * step, n * step, step) + b" re\n" for r, c, n in runs) + b"f\n"
+
+
+def add_text_layer(pdf: Pdf, page: Page, words: list[tuple[str, Area]]) -> None:
+    """Recognised words over a page, invisible, each stretched to the box it was seen in (1 to 1000 per cent)."""
+    resources = own_resources(pdf, page)
+    name = add_resource(resources, "Font", "PapyraF", add(pdf, standard_font()))
+    _, _, height = visual_matrix(page)
+    ops = b"q\n" + _upright(page) + b"BT\n3 Tr\n"
+    for text, (x0, y0, x1, y1) in words:
+        size = max(1.0, y1 - y0)
+        stretch = min(1000.0, max(1.0, 100 * (x1 - x0) / max(text_width(text, size), 0.01)))
+        ops += b"%s Tz\n" % _number(stretch) + text_ops(name, text, x0, height - y1 + 0.2 * size, size)
+    append_content(pdf, page, ops + b"ET\nQ\n")
+
+
+def recognised(pdf: Pdf, words: dict[int, list[tuple[str, Area]]]) -> bytes:
+    """A file with the words that were recognised on its pages as a layer that is found and not seen."""
+    pages = pdf.pages()
+    for n, own in sorted(words.items()):
+        if not 1 <= n <= len(pages):
+            raise Refused(f"page {n} is out of range, the document has {len(pages)}")
+        add_text_layer(pdf, pages[n - 1], own)
+    return save(pdf)[0]
+
+
+def to_unicode(codes: dict[int, str], wide: bool = False) -> bytes:
+    """A map from codes to text, a hundred lines to a block."""
+    digits = 4 if wide else 2
+    line = lambda k, t: f"<{k:0{digits}X}> <{t.encode('utf-16-be').hex().upper()}>"
+    rows = [line(k, t) for k, t in sorted(codes.items())]
+    blocks = [f"{len(part)} beginbfchar\n" + "\n".join(part) + "\nendbfchar" for part in (rows[k : k + 100] for k in range(0, len(rows), 100))]
+    top = "F" * digits
+    head = f"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n1 begincodespacerange\n<{'0' * digits}> <{top}>\nendcodespacerange\n"
+    return (head + "\n".join(blocks) + "\nendcmap\nend\nend").encode()
+
+
+def cover(needed: set[str], fonts: dict[str, set[str]]) -> list[str]:
+    """Fonts that together have all characters, the one that adds most first; characters that none has are left."""
+    left, out = set(needed), []
+    while left:
+        best = max(sorted(fonts), key=lambda f: len(fonts[f] & left), default=None)
+        if best is None or not fonts[best] & left:
+            break
+        out.append(best)
+        left -= fonts[best]
+    return out
+
+
 def embed_image(pdf: Pdf, data: bytes) -> tuple[Ref, float]:
     """A JPEG as it is, or a PNG as samples with its transparency as a soft mask; and height over width."""
     info = {"Type": Name("XObject"), "Subtype": Name("Image"), "BitsPerComponent": 8}

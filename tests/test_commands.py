@@ -196,3 +196,13 @@ def test_a_table_of_a_stream(spark, tmp_path):
     assert spark.table("arrived_pages").count() == 2
     events = ingest.numbered(spark.createDataFrame([("s", 2), ("s", 1), ("t", 5)], "step string, at int"), step="step", order=["at"])
     assert rows(events, "step", "at", "done", "total") == [("s", 1, 1, 2), ("s", 2, 2, 2), ("t", 5, 1, 1)]
+
+
+def test_a_file_that_takes_too_long(spark, files):
+    slow = S.parse(files.where("doc_id = 'a'"), "documents", seconds=0.0001)
+    assert slow.first().error.startswith(S.OUT_OF_TIME) and S.parse(files.where("doc_id = 'a'"), "pages", seconds=0.0001).count() == 0
+
+
+def test_scanner_lines(spark):
+    df = spark.createDataFrame([("/tmp/a: b.pdf: Eicar-Test FOUND",), ("/tmp/a: OK",), (None,)], "v string")
+    assert [r[0] for r in df.select(inspect.scanner_signature("v")).collect()] == ["Eicar-Test", None, None]

@@ -346,3 +346,8 @@ def test_table_rows(spark):
     assert one(spark, layout.markdown_row(cells)) == '| a\\|b | say "x" |  | l\nm, |' and one(spark, layout.csv_row(cells)) == 'a|b,"say ""x""",,"l\nm,"'
     tsv = frame(spark, [(1, 1, 4, 0, 0, 9, 9, ""), (1, 2, 5, 1, 1, 2, 2, "one"), (1, 3, 5, 4, 1, 2, 2, " \t"), (1, 4, 5, 7, 1, 2, 2, "two"), (1, 5, 4, 0, 0, 0, 0, None), (2, 1, 5, 0, 0, 1, 1, "early")], "doc_id long, pos int, level int, left int, top int, width int, height int, text string")
     assert rows(layout.tsv_lines(tsv), "doc_id", "line", "text", "x1") == [(1, 1, "one two", 9)]
+
+
+def test_recognised_text(spark):
+    df = frame(spark, [(1, 1, 1, "p", "one"), (1, 1, 2, "p", "two"), (1, 1, 3, "q", "three"), (1, 2, 1, None, None)], "doc_id long, page int, line int, paragraph string, text string")
+    assert rows(layout.recognised_text(df), "page", "text") == [(1, "one\ntwo\n\nthree"), (2, "")]

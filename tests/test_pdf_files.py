@@ -599,3 +599,18 @@ def test_lines_file_grows_with_its_lines():
 def test_font_encodes_what_it_has():
     font = Font(Pdf(sample(1)), {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")})
     assert font.encode("Aé") == b"A\xe9" and font.encode("日") is None
+
+
+def test_recognised_words_become_a_layer_that_is_not_seen():
+    done = E.recognised(Pdf(sample(2)), {2: [("Scanned", [100, 200, 180, 214]), ("text", [185, 200, 215, 214])]})
+    found = [w for w in words(done, 2) if w.invisible]
+    assert [w.text for w in found] == ["Scanned", "text"] and [round(v) for v in (found[0].x0, found[0].y0, found[0].x1, found[0].y1)] == [100, 200, 180, 214]
+    with pytest.raises(E.Refused):
+        E.recognised(Pdf(sample(1)), {4: []})
+
+
+def test_maps_and_covers():
+    codes = {k: chr(0x400 + k) for k in range(1, 150)}
+    font = Font(Pdf(sample(1)), {"ToUnicode": Stream({}, E.to_unicode(codes))})
+    assert font.texts == codes and E.to_unicode(codes).count(b"beginbfchar") == 2
+    assert E.cover(set("abcd"), {"x": set("ab"), "y": set("bcd"), "z": set()}) == ["y", "x"] and E.cover(set("a"), {}) == []
