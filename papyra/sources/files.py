@@ -213,7 +213,7 @@ def open_pdf(data: bytes, password: str | None) -> Pdf:
     """A parsed file, or one of the errors that stand for a file which cannot be read."""
     try:
         return Pdf(data, password or "")
-    except (WrongPassword, Damaged, Unsupported, _OutOfTime):
+    except (WrongPassword, Damaged, Unsupported):
         raise
     except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
         raise Damaged("not a valid PDF") from error
@@ -224,8 +224,8 @@ def _given(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content"), password.alias("password"))
 
 
-class _OutOfTime(ValueError):
-    """A file took longer than it may."""
+class _OutOfTime(Exception):
+    """A file took longer than it may; not one of the errors that reading survives."""
 
 
 @contextmanager
@@ -262,7 +262,7 @@ def parse(files: DataFrame, table: str, *, seconds: float = SECONDS) -> DataFram
             with deadline(seconds):
                 found = list(make(data if raw else open_pdf(data, password)))
             yield from found
-        except (WrongPassword, Damaged, Unsupported, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
+        except (_OutOfTime, WrongPassword, Damaged, Unsupported, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
             if table == "documents":
                 known = isinstance(error, (WrongPassword, Damaged, Unsupported, _OutOfTime))
                 yield {"size_bytes": len(data), "encrypted": isinstance(error, WrongPassword) or None, "error": str(error) if known else "not a valid PDF"}
