@@ -6,6 +6,7 @@ tried in one pass over the records, and only findings move.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,24 +67,23 @@ MOST_SIDE, MOST_AREA, MOST_COLUMNS, MOST_ROWS = 30_000.0, 4.0e8, 200_000.0, 2_00
 TOO_SMALL, HEADER_NEAR, TRAILING = 1.5, 1024, 1024
 
 
-def dictionary_rules() -> list[tuple[str, Column, Column, Column]]:
-    """(kind, severity, condition, sample) over the records of dictionaries; a sample is JSON or null."""
-    c = F.col
-    has = lambda key: F.array_contains("keys", key)
+def dictionary_rules(c: Callable[[str], Column] = F.col) -> list[tuple[str, Column, Column, Column]]:
+    """(kind, severity, condition, sample) over the records of dictionaries, whose fields ``c`` gives; a sample is JSON or null."""
+    has = lambda key: F.array_contains(c("keys"), key)
     act = c("s")
     cut = lambda x, n=200: T.excerpt(x, n)
     json = lambda **parts: F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
     if_any = lambda x, **parts: F.when(x.isNotNull(), json(**parts))
-    uri = F.lower(F.regexp_replace("uri", r"(?U)^\s+", ""))
+    uri = F.lower(F.regexp_replace(c("uri"), r"(?U)^\s+", ""))
     is_uri = act == "URI"
     script_link = is_uri & uri.startswith("javascript:")
-    file_link = is_uri & ~script_link & (uri.startswith("file:") | (T.is_remote("uri") & ~F.contains(uri, F.lit("://"))))
+    file_link = is_uri & ~script_link & (uri.startswith("file:") | (T.is_remote(c("uri")) & ~F.contains(uri, F.lit("://"))))
     other_link = is_uri & ~script_link & ~file_link
-    packed = F.size(F.filter("filters", lambda f: f.isin(*_PACKING)))
-    pictures = F.size(F.filter("filters", lambda f: f.isin(*_PICTORIAL)))
+    packed = F.size(F.filter(c("filters"), lambda f: f.isin(*_PACKING)))
+    pictures = F.size(F.filter(c("filters"), lambda f: f.isin(*_PICTORIAL)))
     image = (c("subtype") == "Image") | (has("Width") & has("Height"))
-    kind = T.file_type(F.coalesce("file_head", F.lit(b"").cast("binary")), F.coalesce("file_name", F.lit("")))
-    w, h = F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0))
+    kind = T.file_type(F.coalesce(c("file_head"), F.lit(b"").cast("binary")), F.coalesce(c("file_name"), F.lit("")))
+    w, h = F.coalesce(c("width"), F.lit(0.0)), F.coalesce(c("height"), F.lit(0.0))
     lit = F.lit
     return [
         ("javascript", lit("high"), (act == "JavaScript") | has("JS"), if_any(c("script"), script=cut(c("script")))),
@@ -97,11 +97,11 @@ def dictionary_rules() -> list[tuple[str, Column, Column, Column]]:
         ("submit_form", lit("medium"), act == "SubmitForm", if_any(c("target"), target=cut(c("target")))),
         ("import_data", lit("medium"), act == "ImportData", if_any(c("target"), target=cut(c("target")))),
         (
-            "remote_goto", F.when(F.coalesce(T.is_remote("target"), lit(False)), "high").otherwise("low"), act.isin("GoToR", "GoToE"),
+            "remote_goto", F.when(F.coalesce(T.is_remote(c("target")), lit(False)), "high").otherwise("low"), act.isin("GoToR", "GoToE"),
             if_any(c("target"), target=cut(c("target"))),
         ),
         ("remote_goto", lit("high"), file_link, json(target=cut(c("uri")))),
-        ("external_link", lit("info"), other_link, cut(T.host("uri"), 100)),
+        ("external_link", lit("info"), other_link, cut(T.host(c("uri")), 100)),
         ("rich_media", lit("medium"), act.isin(*_MEDIA_ACTIONS), json(action=act)),
         (
             "rich_media", F.when(c("subtype") == "RichMedia", "high").otherwise("medium"), has("Rect") & c("subtype").isin("RichMedia", *_MEDIA_SUBTYPES),
@@ -109,7 +109,7 @@ def dictionary_rules() -> list[tuple[str, Column, Column, Column]]:
         ),
         ("xfa", lit("medium"), has("XFA"), lit(None).cast("string")),
         ("embedded_file", kind["severity"], has("EF"), json(name=cut(c("file_name")), type=kind["type"], size_bytes=c("file_size"))),
-        ("filter_chain", lit("medium"), (F.size("filters") > 2) | (packed > 1), json(filters=F.size("filters"))),
+        ("filter_chain", lit("medium"), (F.size(c("filters")) > 2) | (packed > 1), json(filters=F.size(c("filters")))),
         ("misplaced_image_filter", lit("medium"), (pictures > 0) & ~F.coalesce(image, lit(False)), lit(None).cast("string")),
         (
             "decompression_bomb", lit("high"), (c("expanded") > pdf_inspect.BOMB) & (c("expanded") / c("stored") > 100),
@@ -118,7 +118,7 @@ def dictionary_rules() -> list[tuple[str, Column, Column, Column]]:
         ("huge_image", lit("medium"), (c("subtype") == "Image") & ((w > MOST_SIDE) | (h > MOST_SIDE) | (w * h > MOST_AREA)), json(width=w, height=h)),
         (
             "implausible_fax_parameters", lit("medium"),
-            F.array_contains("filters", "CCITTFaxDecode") & (~c("fax_columns").between(1.0, MOST_COLUMNS) | ~c("fax_rows").between(0.0, MOST_ROWS)),
+            F.array_contains(c("filters"), "CCITTFaxDecode") & (~c("fax_columns").between(1.0, MOST_COLUMNS) | ~c("fax_rows").between(0.0, MOST_ROWS)),
             json(columns=c("fax_columns"), rows=c("fax_rows")),
         ),
     ]
@@ -142,40 +142,52 @@ def object_findings(files: DataFrame) -> DataFrame:
     return records.select("doc_id", F.explode(_found(dictionary_rules(), F.col("obj"))).alias("f")).select("doc_id", "f.*")
 
 
-def raw_findings(files: DataFrame, named: DataFrame) -> DataFrame:
-    """The same of what the bytes say. ``named`` has (doc_id, kind) of names that readable objects hold."""
-    raw = S.parse(files, "raw")
-    c = F.col
+def _finding(kind: Column, severity: Column, sample: Column | None = None, times: Column | None = None) -> Column:
+    """A finding that belongs to no object."""
+    sample = F.lit(None) if sample is None else sample
+    times = F.lit(1) if times is None else times
+    return F.struct(
+        kind.alias("kind"), severity.alias("severity"), F.lit(None).cast("int").alias("obj"), sample.cast("string").alias("sample"), times.cast("long").alias("times")
+    )
+
+
+def raw_findings() -> Column:
+    """The findings of a row of the inspection table that its bytes alone give, or that it could not be opened."""
+    raw = F.col("raw")
     json = lambda **parts: F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
-    none = F.lit(None).cast("string")
     rules = [
-        ("header_not_at_start", F.when(c("header_offset").between(1, HEADER_NEAR - 1), "low").otherwise("medium"), c("header_offset") != 0, F.when(c("header_offset") > 0, json(offset=c("header_offset")))),
-        ("trailing_data", F.lit("low"), c("bytes_after_end") > TRAILING, json(bytes=c("bytes_after_end"))),
-        ("shadowed_objects", F.lit("low"), (c("redefined") > 0) & (c("revisions") <= 1), json(objects=c("redefined"))),
-    ]
-    plain = raw.select("doc_id", F.explode(_found(rules, F.lit(None))).alias("f")).select("doc_id", "f.*")
+        (
+            "header_not_at_start", F.when(raw["header_offset"].between(1, HEADER_NEAR - 1), "low").otherwise("medium"), raw["header_offset"] != 0,
+            F.when(raw["header_offset"] > 0, json(offset=raw["header_offset"])),
+        ),
+        ("trailing_data", F.lit("low"), raw["bytes_after_end"] > TRAILING, json(bytes=raw["bytes_after_end"])),
+        ("shadowed_objects", F.lit("low"), (raw["redefined"] > 0) & (raw["revisions"] <= 1), json(objects=raw["redefined"])),
+        ("cyclic_structure", F.lit("medium"), F.col("cyclic"), F.lit(None)),
+        ("encrypted_unread", F.lit("info"), F.col("error").isNotNull() & F.coalesce("encrypted", F.lit(False)), F.lit(None)),
+        ("resource_exhaustion", F.lit("medium"), F.col("error").startswith(S.OUT_OF_TIME), F.lit(None)),
+        ("unparseable", F.lit("medium"), F.col("error").isNotNull() & ~F.coalesce("encrypted", F.lit(False)) & ~F.col("error").startswith(S.OUT_OF_TIME), F.lit(None)),
+    ]
     telling = [n for n, _, _ in pdf_inspect.RAW_NAMES] + ["JS", "AA", "S", "URI", "Action", "Filter", "ObjStm"]
-    e = raw.select("doc_id", F.explode("escaped").alias("e"))
-    hidden = e.select(
-        "doc_id", F.lit("obfuscated_name").alias("kind"), F.when(c("e.means").isin(*telling), "high").otherwise("low").alias("severity"), F.lit(None).cast("int").alias("obj"),
-        json(written=F.concat(F.lit("/"), "e.written"), means=F.concat(F.lit("/"), "e.means")).alias("sample"), c("e.times").cast("long").alias("times"),
-    )
-    known = F.create_map(*[F.lit(x) for n, kind, severity in pdf_inspect.RAW_NAMES for x in (n, f"{kind}|{'medium' if severity == 'high' else severity}")])
-    counted = raw.select("doc_id", F.explode("names").alias("name", "n")).withColumn("k", known[c("name")])
-    by_name = counted.select(
-        "doc_id", F.substring_index("k", "|", 1).alias("kind"), F.substring_index("k", "|", -1).alias("severity"), F.lit(None).cast("int").alias("obj"),
-        json(name_in_bytes=F.concat(F.lit("/"), "name"), times=c("n")).alias("sample"), F.lit(1).cast("long").alias("times"),
-    )
-    unread = by_name.join(named.select(c("doc_id").alias("d"), c("kind").alias("k")).distinct(), (c("doc_id") == c("d")) & (c("kind") == c("k")), "left_anti")
-    structure = S.parse(files, "structure").where("cyclic").select("doc_id", F.lit("cyclic_structure").alias("kind"), F.lit("medium").alias("severity"))
-    state = S.parse(files, "documents").where("error is not null")
-    late = c("error").startswith(S.OUT_OF_TIME)
-    closed = state.select(
-        "doc_id", F.when(c("encrypted"), "encrypted_unread").when(late, "resource_exhaustion").otherwise("unparseable").alias("kind"),
-        F.when(c("encrypted"), "info").otherwise("medium").alias("severity"),
+    escaped = F.transform(
+        F.coalesce(raw["escaped"], F.array().cast("array<struct<written:string,means:string,times:int>>")),
+        lambda e: _finding(
+            F.lit("obfuscated_name"), F.when(e["means"].isin(*telling), "high").otherwise("low"),
+            json(written=F.concat(F.lit("/"), e["written"]), means=F.concat(F.lit("/"), e["means"])), e["times"],
+        ),
     )
-    bare = structure.unionByName(closed).withColumns({"obj": F.lit(None).cast("int"), "sample": none, "times": F.lit(1).cast("long")})
-    return plain.unionByName(hidden).unionByName(unread).unionByName(bare)
+    return F.concat(_found(rules, F.lit(None)), escaped)
+
+
+def unread_names(found: Column) -> Column:
+    """Telling names in the bytes that stand for nothing in the objects that could be read; ``found`` are those' findings."""
+    kinds = F.create_map(*[F.lit(x) for n, kind, _ in pdf_inspect.RAW_NAMES for x in (n, kind)])
+    severities = F.create_map(*[F.lit(x) for n, _, severity in pdf_inspect.RAW_NAMES for x in (n, "medium" if severity == "high" else severity)])
+    met = F.flatten(F.transform("dictionaries", lambda d: F.array_union(d["keys"], d["names"])))
+    named = F.array_union(F.transform(met, lambda n: kinds[n]), F.transform(found, lambda f: f["kind"]))
+    entries = F.map_entries(F.coalesce(F.col("raw")["names"], F.create_map().cast("map<string,int>")))
+    left = F.filter(entries, lambda e: ~F.coalesce(F.array_contains(named, kinds[e["key"]]), F.lit(False)))
+    sample = lambda e: F.to_json(F.struct(F.concat(F.lit("/"), e["key"]).alias("name_in_bytes"), e["value"].alias("times")))
+    return F.transform(left, lambda e: _finding(kinds[e["key"]], severities[e["key"]], sample(e)))
 
 
 def _restated(stated: Column, drawn: Column) -> Column:
@@ -223,12 +235,15 @@ def hidden_text(files: DataFrame) -> DataFrame:
 
 
 def findings(files: DataFrame, *, skip_hidden_text: bool = False) -> DataFrame:
-    """Everything found, one row per occurrence: (doc_id, kind, severity, obj, sample, times)."""
-    found = object_findings(files)
-    records = S.parse(files, "dictionaries").select("doc_id", F.explode(F.array_union("keys", "names")).alias("name"))
-    known = F.create_map(*[F.lit(x) for n, kind, _ in pdf_inspect.RAW_NAMES for x in (n, kind)])
-    named = records.select("doc_id", known[F.col("name")].alias("kind")).where("kind is not null").unionByName(found.select("doc_id", "kind"))
-    out = found.unionByName(raw_findings(files, named))
+    """Everything found, one row per occurrence: (doc_id, kind, severity, obj, sample, times).
+
+    A file is read once, and all rules are tried on its own row, so nothing is shuffled; hidden text reads it once more.
+    """
+    rows = S.parse(files, "inspection")
+    objects = F.flatten(F.transform("dictionaries", lambda d: _found(dictionary_rules(lambda name: d[name]), d["obj"])))
+    staged = rows.withColumn("objects", objects)
+    every = F.concat("objects", raw_findings(), unread_names(F.col("objects")))
+    out = staged.select("doc_id", F.explode(every).alias("f")).select("doc_id", "f.*")
     if skip_hidden_text:
         return out
     hidden = hidden_text(files).select("doc_id", F.lit("hidden_text").alias("kind"), F.lit("medium").alias("severity"), F.lit(None).cast("int").alias("obj"), F.explode("samples").alias("sample"))

@@ -7,6 +7,7 @@ column. Only the asked table is made, and a file is never split; its bytes leave
 
 from __future__ import annotations
 
+import re
 import signal
 import threading
 from collections.abc import Callable, Iterator
@@ -170,6 +171,39 @@ def _structure(pdf: Pdf) -> Iterator[dict[str, Any]]:
     yield {"cyclic": pdf_inspect.cyclic_pages(pdf), "objects": len(pdf.entries), "pages": len(pdf.pages()), "parsed": True}
 
 
+_RAW = (
+    "size_bytes long, header_offset long, revisions int, bytes_after_end long, redefined int, names map<string,int>, "
+    "escaped array<struct<written:string,means:string,times:int>>, trailer_encrypt boolean"
+)
+_DICTIONARY = (
+    "obj int, keys array<string>, names array<string>, s string, subtype string, script string, uri string, target string, program string, parameters string, "
+    "opens string, events array<string>, file_name string, file_head binary, file_size long, filters array<string>, stored long, expanded long, "
+    "width double, height double, fax_columns double, fax_rows double"
+)
+
+
+def _nested(columns: str) -> str:
+    """Columns as the fields of a struct."""
+    return ", ".join(re.sub(r"^(\w+) ", r"\1: ", c.strip()) for c in re.split(r",(?![^<]*>)", columns))
+
+
+def _inspection(data: bytes, password: str | None) -> Iterator[dict[str, Any]]:
+    """All that a scan asks of a file, in one row: facts of the bytes always, records of dictionaries where it opens."""
+    row: dict[str, Any] = {"raw": next(_raw(data)), "error": None, "encrypted": None, "cyclic": False, "dictionaries": []}
+    names = [f.split(" ")[0] for f in _DICTIONARY.split(", ")]
+    try:
+        pdf = open_pdf(data, password)
+        row["encrypted"], row["cyclic"] = pdf.security is not None, pdf_inspect.cyclic_pages(pdf)
+        row["dictionaries"] = [{n: r.get(n) for n in names} for r in pdf_inspect.dictionaries(pdf)]
+    except WrongPassword as error:
+        row |= {"error": str(error), "encrypted": True}
+    except _OutOfTime:
+        raise
+    except Exception as error:  # whatever a hostile file brings about is a finding
+        row["error"] = str(error) if isinstance(error, (Damaged, Unsupported)) else "not a valid PDF"
+    yield row
+
+
 #: Per table its columns and what makes its rows.
 TABLES: dict[str, tuple[str, Callable[[Any], Iterator[dict[str, Any]]]]] = {
     "documents": (
@@ -192,17 +226,9 @@ TABLES: dict[str, tuple[str, Callable[[Any], Iterator[dict[str, Any]]]]] = {
     "destinations": ("name string, page int", _destinations),
     "images": ("page int, n int, width int, height int, kind string, content binary, skipped string", _images),
     "drawn_images": ("page int, draw_pos int, key string, width int, height int", _drawn),
-    "raw": (
-        "size_bytes long, header_offset long, revisions int, bytes_after_end long, redefined int, names map<string,int>, "
-        "escaped array<struct<written:string,means:string,times:int>>, trailer_encrypt boolean",
-        _raw,
-    ),
-    "dictionaries": (
-        "obj int, keys array<string>, names array<string>, s string, subtype string, script string, uri string, target string, program string, parameters string, "
-        "opens string, events array<string>, file_name string, file_head binary, file_size long, filters array<string>, stored long, expanded long, "
-        "width double, height double, fax_columns double, fax_rows double",
-        _dictionaries,
-    ),
+    "raw": (_RAW, _raw),
+    "dictionaries": (_DICTIONARY, _dictionaries),
+    "inspection": (f"error string, encrypted boolean, cyclic boolean, raw struct<{_nested(_RAW)}>, dictionaries array<struct<{_nested(_DICTIONARY)}>>", _inspection),
     "references": ("src int, dst int", _references),
     "objects": ("obj int, kind string, packed boolean", _objects),
     "structure": ("cyclic boolean, objects int, pages int, parsed boolean", _structure),
@@ -255,14 +281,16 @@ def parse(files: DataFrame, table: str, *, seconds: float = SECONDS) -> DataFram
     schema = T.StructType.fromDDL("doc_id string, " + columns)
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     names = schema.names[1:]
-    raw = make is _raw
+    raw, whole = make is _raw, make is _inspection
 
     def rows(doc: str, data: bytes, password: str | None) -> Iterator[dict[str, Any]]:
         try:
             with deadline(seconds):
-                found = list(make(data if raw else open_pdf(data, password)))
+                found = list(make(data, password) if whole else make(data if raw else open_pdf(data, password)))
             yield from found
         except (_OutOfTime, WrongPassword, Damaged, Unsupported, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as error:
+            if whole:
+                yield {"error": str(error), "dictionaries": []}
             if table == "documents":
                 known = isinstance(error, (WrongPassword, Damaged, Unsupported, _OutOfTime))
                 yield {"size_bytes": len(data), "encrypted": isinstance(error, WrongPassword) or None, "error": str(error) if known else "not a valid PDF"}
@@ -295,11 +323,12 @@ def edit(files: DataFrame, change: Callable[..., Any], **args: Any) -> DataFrame
                 doc, data, password = (batch.column(c)[k].as_py() for c in range(3))
                 content = report = problem = None
                 try:
-                    found = change(open_pdf(data or b"", password), **args)
+                    with deadline(SECONDS):
+                        found = change(open_pdf(data or b"", password), **args)
                     content, report = found if isinstance(found, tuple) else (found, {})
                     report = pdf_edit.report_json(report)
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError) as error:
-                    problem = str(error) if isinstance(error, ValueError) else "the file cannot be changed"
+                except (_OutOfTime, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError) as error:
+                    problem = str(error) if isinstance(error, (ValueError, _OutOfTime)) else "the file cannot be changed"
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": [doc], "content": [content], "report": [report], "error": [problem]},
                     pa.schema([("doc_id", pa.string()), ("content", pa.binary()), ("report", pa.string()), ("error", pa.string())]),
