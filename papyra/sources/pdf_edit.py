@@ -19,7 +19,7 @@ from ..functions.pagespec import page_numbers
 from ..functions.text import NO, YES
 from .crypt import Security, permissions
 from .pdf import Name, Page, Pdf, Ref, Stream, Unsupported, Word, text_string
-from .pdf_text import apply, bounds, interpret, invert, lines_of, reading_order, visual_matrix
+from .pdf_text import bounds, interpret, invert, lines_of, reading_order, visual_matrix
 from .pdf_writer import Copier, Writer, encode_text, outline_tree, save, serialise, standard_font, text_width
 
 Area = list[float]
