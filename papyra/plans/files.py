@@ -226,6 +226,27 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(own, F.col("n_nationkey") == F.col("k"), "left").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("name"), "customers")
 
 
+def _with_orphans(row: dict[str, Any]) -> bytes:
+    """A nation's file with objects that nothing refers to: the number of its customers modulo seven, each a link to the next."""
+    out = Writer()
+    root, tree = out.add(), out.add()
+    orphans = [out.add() for _ in range(len(row["customers"] or []) % 7)]
+    for k, ref in enumerate(orphans):
+        out.set(ref, {"Next": orphans[(k + 1) % len(orphans)], "Up": tree})
+    out.set(tree, {"Type": Name("Pages"), "Kids": [out.add({"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, 9, 9]})], "Count": 1})
+    out.set(root, {"Type": Name("Catalog"), "Pages": tree})
+    return out.finish(root)
+
+
+def pdf_unused_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that nothing leads to, and what writing the file anew says it left out."""
+    files = _made(nations(spark, sf_dir), _with_orphans)
+    unused = S.parse(files, "reached").groupBy("doc_id").agg(F.sum((~F.col("reached")).cast("long")).alias("unused"))
+    report = F.get_json_object("report", "$.unused_objects_removed").cast("long").alias("removed")
+    done = C.compress(files).select(F.col("doc_id").alias("d"), report)
+    return unused.join(done, F.col("doc_id") == F.col("d")).drop("d")
+
+
 def pdf_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the files."""
     rows = C.forms(_made(nations(spark, sf_dir), _form))
@@ -382,7 +403,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pdf_info, pdf_text, pdf_text_budget, pdf_search, pdf_layout, pdf_words, pdf_outline, pdf_pages_keep, pdf_pages_delete, pdf_split, pdf_merge, pdf_rotate, pdf_set_meta,
-        pdf_stamp, pdf_annotate, pdf_redact, pdf_replace, pdf_compress, pdf_repaired, pdf_hidden_text, pdf_annotations, pdf_forms, pdf_fill, pdf_images, pdf_scan, pdf_verdict,
+        pdf_stamp, pdf_annotate, pdf_redact, pdf_replace, pdf_compress, pdf_repaired, pdf_hidden_text, pdf_annotations, pdf_forms, pdf_fill, pdf_unused_objects, pdf_images, pdf_scan, pdf_verdict,
         pdf_sanitize, pdf_tables_ruled, pdf_tables_aligned, pdf_create, pdf_encrypt, pdf_signatures,
     )
 }
@@ -429,6 +450,8 @@ SELECT doc_id, page, height, CAST((CASE WHEN page = 1 THEN 180 ELSE 0 END + CASE
     "pdf_forms": r"""SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, 'c' || c_custkey AS name, 'text' AS type, c_name AS value, '' AS options, c_custkey % 2 = 1 AS read_only, CAST(1 AS INTEGER) AS page FROM customer
 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'agree', 'checkbox', NULL, 'Yes', false, 1 FROM nation""",
     "pdf_fill": "SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, 'Yes' AS value FROM nation",
+    "pdf_unused_objects": r"""SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CAST(count(c_custkey) % 7 AS BIGINT) AS unused, CAST(count(c_custkey) % 7 AS BIGINT) AS removed
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
     "pdf_images": r"""WITH c AS (SELECT c_nationkey, c_mktsegment AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer),
 f AS (SELECT c_nationkey, s, min(k) AS k FROM c GROUP BY c_nationkey, s),
 n AS (SELECT *, CAST(k // 20 + 1 AS INTEGER) AS page, row_number() OVER (PARTITION BY c_nationkey, k // 20 ORDER BY k) AS n FROM f)

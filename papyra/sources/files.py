@@ -167,6 +167,21 @@ def _objects(pdf: Pdf) -> Iterator[dict[str, Any]]:
         yield {"obj": number, "kind": type(x).__name__.lower() if x is not None else None, "packed": pdf.entries[number][0] == "packed"}
 
 
+def _reached(pdf: Pdf) -> Iterator[dict[str, Any]]:
+    """Which objects the trailer leads to: what nothing refers to any more is not written again."""
+    edges: dict[int, list[int]] = {}
+    for a, b in pdf_inspect.references(pdf):
+        edges.setdefault(a, []).append(b)
+    seen, todo = set(), [0]
+    while todo:
+        for b in edges.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    for number in sorted(pdf.entries):
+        yield {"obj": number, "reached": number in seen}
+
+
 def _structure(pdf: Pdf) -> Iterator[dict[str, Any]]:
     yield {"cyclic": pdf_inspect.cyclic_pages(pdf), "objects": len(pdf.entries), "pages": len(pdf.pages()), "parsed": True}
 
@@ -231,6 +246,7 @@ TABLES: dict[str, tuple[str, Callable[[Any], Iterator[dict[str, Any]]]]] = {
     "inspection": (f"error string, encrypted boolean, cyclic boolean, raw struct<{_nested(_RAW)}>, dictionaries array<struct<{_nested(_DICTIONARY)}>>", _inspection),
     "references": ("src int, dst int", _references),
     "objects": ("obj int, kind string, packed boolean", _objects),
+    "reached": ("obj int, reached boolean", _reached),
     "structure": ("cyclic boolean, objects int, pages int, parsed boolean", _structure),
 }
 
