@@ -187,11 +187,28 @@ class Word:
     italic: bool = False
     #: What the glyphs read as, where other text is stated for them.
     drawn: str | None = None
-    #: Per glyph its place in the text, its own text and its box.
-    parts: list[tuple[int, str, list[float]]] = field(default_factory=list)
+    #: The texts and boxes of the glyphs; a word made by hand is its own only one.
+    glyphs: tuple[list[str], Any] | None = None
     start: tuple[float, float] = (0.0, 0.0)
     end: tuple[float, float] = (0.0, 0.0)
 
+    @property
+    def parts(self) -> list[tuple[int, str, list[float]]]:
+        """Per glyph its place in the text, its own text and its box."""
+        if self.glyphs is None:
+            return [(0, self.text, [self.x0, self.y0, self.x1, self.y1])]
+        texts, boxes = self.glyphs
+        out, at = [], 0
+        for t, box in zip(texts, boxes.tolist()):
+            out.append((at, t, box))
+            at += len(t)
+        return out
+
+    @property
+    def pieces(self) -> list[str]:
+        """The texts of the glyphs."""
+        return [self.text] if self.glyphs is None else self.glyphs[0]
+
 
 @dataclass
 class Layout:
@@ -215,6 +232,8 @@ class Pdf:
         self.trailer: dict[str, Any] = {}
         self.cache: dict[int, Any] = {}
         self.object_streams: dict[int, list[tuple[int, Any]]] = {}
+        #: Fonts that pages have used, by the interpreter.
+        self.fonts: dict[Any, Any] = {}
         self.repaired = False
         at = data.find(b"%PDF-", 0, 1 << 20)
         if at < 0:

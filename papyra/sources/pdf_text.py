@@ -112,6 +112,8 @@ class Font:
 
     def __init__(self, pdf: Pdf, info: Any):
         info = info if isinstance(info, dict) else {}
+        # Held, since fonts without a number are known by the identity of their dictionary.
+        self.info = info
         self.name = re.sub(r"^[A-Z]{6}\+", "", str(pdf.get(info.get("BaseFont")) or "Helvetica"))
         self.wide = pdf.get(info.get("Subtype")) == "Type0"
         self.texts: dict[int, str] = {}
@@ -334,7 +336,7 @@ class Interpreter:
         self.pdf, self.page = pdf, page
         self.base, width, height = visual_matrix(page)
         self.out = Layout(width, height)
-        self.fonts: dict[Any, Font] = {}
+        self.fonts: dict[Any, Font] = pdf.fonts
         self.glyphs: list[Run | Glyph | None] = []
         self.stated: list[list | None] = []
 
@@ -624,17 +626,13 @@ def words_of(pieces: list[Run | Glyph | None]) -> list[Word]:
             anchor = size[k] if new[k] else anchor
         first = np.flatnonzero(new)
     low, high = np.minimum.reduceat(boxes[:, :2], first).tolist(), np.maximum.reduceat(boxes[:, 2:], first).tolist()
-    listed, starts, ends, sizes = boxes.tolist(), start.tolist(), end.tolist(), size.tolist()
+    starts, ends, sizes = start.tolist(), end.tolist(), size.tolist()
     out = []
     for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n])):
         own = texts[a:b]
-        offset, parts = 0, []
-        for t, box in zip(own, listed[a:b]):
-            parts.append((offset, t, box))
-            offset += len(t)
         seen = "".join(drawn.get(j, texts[j]) for j in range(a, b)) if drawn and any(j in drawn for j in range(a, b)) else None
         font = fonts[owner[a]]
-        out.append(Word("".join(own), *low[k], *high[k], sizes[a], font.name, bool(unseen[a]), font.bold, font.italic, seen, parts, tuple(starts[a]), tuple(ends[b - 1])))
+        out.append(Word("".join(own), *low[k], *high[k], sizes[a], font.name, bool(unseen[a]), font.bold, font.italic, seen, (own, boxes[a:b]), tuple(starts[a]), tuple(ends[b - 1])))
     return out
 
 
@@ -685,10 +683,17 @@ def _levels(text: str, base: int) -> list[int]:
     return level
 
 
+def _reads_plainly(text: str) -> bool:
+    """Whether a text lies before the scripts that run from the right."""
+    return text.isascii() or max(text) < "\u0590"
+
+
 def reading_order(pieces: list[str]) -> list[tuple[int, bool]] | None:
     """The order in which pieces of a line are read, given from left to right, and whether each stands in text running
     from the right; None where nothing does."""
     text = "".join(pieces)
+    if _reads_plainly(text):
+        return None
     kinds = [unicodedata.bidirectional(c) for c in text]
     from_right = sum(k in ("R", "AL") for k in kinds)
     if not from_right:
@@ -714,7 +719,7 @@ def line_text(line: list[Word]) -> str:
     """The text of words from left to right, as it is read."""
     pieces: list[str] = []
     for k, w in enumerate(line):
-        pieces += [" "] * (k > 0) + [text for _, text, _ in w.parts]
+        pieces += [" "] * (k > 0) + w.pieces
     order = reading_order(pieces)
     if order is None:
         return "".join(pieces)
@@ -742,7 +747,7 @@ def running_text(words: list[Word]) -> str:
 
     def finish() -> None:
         plain = " ".join(w.text for w in line)
-        turned = any(unicodedata.bidirectional(c) in ("R", "AL") for c in plain)
+        turned = not _reads_plainly(plain) and any(unicodedata.bidirectional(c) in ("R", "AL") for c in plain)
         out.append(line_text(sorted(line, key=lambda w: w.x0)) if turned else plain)
 
     for w in words:
