@@ -8,6 +8,7 @@ from __future__ import annotations
 import inspect as python
 import json
 import os
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,6 +194,13 @@ def handle(spark: SparkSession, line: str, *, root: str | None = None) -> str |
     return _result(ident, {"content": [{"type": "text", "text": found}], "isError": bad})
 
 
+def serve(spark: SparkSession, lines: Iterable[str], write: Callable[[str], None], *, root: str | None = None) -> None:
+    """Answer messages, one a line, until there are no more."""
+    for line in lines:
+        if line.strip() and (answer := handle(spark, line, root=root)) is not None:
+            write(answer + "\n")
+
+
 def _result(ident: Any, result: dict[str, Any]) -> str:
     return json.dumps({"jsonrpc": "2.0", "id": ident, "result": result}, ensure_ascii=False)
 

@@ -355,6 +355,7 @@ class Pdf:
         for number in list(self.entries):
             if isinstance(x := self._quietly(number), Stream) and x.info.get("Type") == "XRef":
                 self.trailer.update({k: v for k, v in x.info.items() if k in ("Root", "Info", "Encrypt", "ID")})
+        self._stated()
         self._unlock()
         for number in list(self.entries):
             try:
@@ -373,6 +374,19 @@ class Pdf:
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             raise Damaged("not a valid PDF")
 
+    def _stated(self) -> None:
+        """What a trailer that cannot be read would have said, by its last mention in the bytes."""
+        for key in ("Root", "Info", "Encrypt"):
+            found = re.findall(rb"/%s[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R" % key.encode(), self.data)
+            if key not in self.trailer and found and int(found[-1][0]) in self.entries:
+                self.trailer[key] = Ref(int(found[-1][0]), int(found[-1][1]))
+        marks = [m.end() for m in re.finditer(rb"/ID[\x00\t\n\x0c\r ]*(?=\[)", self.data)]
+        if "ID" not in self.trailer and marks:
+            try:
+                self.trailer["ID"] = Lexer(self.data, marks[-1]).next()
+            except Damaged:
+                pass
+
     def _quietly(self, number: int) -> Any:
         try:
             return self.get(Ref(number, 0))

@@ -165,6 +165,12 @@ def test_json_rpc(spark, tmp_path):
     assert json.loads(service.handle(spark, "{"))["error"]["code"] == service.PARSE_ERROR and service.handle(spark, '{"method": "notifications/x"}') is None
 
 
+def test_serving(spark):
+    out = []
+    service.serve(spark, ['{"id": 1, "method": "ping"}', "", '{"method": "note"}', "x"], out.append)
+    assert [json.loads(x).get("id") for x in out] == [1, None] and out[0].endswith("\n")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 

@@ -381,6 +381,20 @@ def test_encrypt_and_decrypt():
         E.decrypt(Pdf(sample(1)))
 
 
+def test_damaged_files_that_are_protected_are_rebuilt_and_stay_so():
+    locked = E.encrypt(Pdf(sample(2)), owner_password="own", user_password="user")
+    at = locked.rindex(b"trailer")
+    for broken in (locked.replace(b"startxref", b"startxxxx"), locked[:at] + locked[at:].replace(b"trailer", b"trailxx"), locked[: locked.rindex(b"startxref")]):
+        with pytest.raises(WrongPassword):
+            Pdf(broken)
+        pdf = Pdf(broken, "user")
+        assert pdf.repaired and texts(broken, "user") == texts(sample(2)) and pdf.metadata()["title"] == "Sample"
+        again = E.rotate(pdf, 90)
+        with pytest.raises(WrongPassword):
+            Pdf(again)
+        assert texts(again, "own") == texts(sample(2))
+
+
 @pytest.mark.parametrize(("version", "revision", "method", "length"), [(1, 2, "V2", 5), (2, 3, "V2", 16), (4, 4, "AESV2", 16)])
 def test_older_protections_are_read(version, revision, method, length):
     """Files made here by the steps that the standard gives for the user's password."""
