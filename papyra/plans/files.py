@@ -37,7 +37,7 @@ def _made(rows: DataFrame, make: Callable[[dict[str, Any]], bytes]) -> DataFrame
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pydict({"doc_id": [str(row["doc_id"])], "content": [make(row)]})
 
-    return rows.repartition(tasks, "doc_id").mapInArrow(run, "doc_id string, content binary")
+    return rows.repartition(tasks, F.xxhash64("doc_id")).mapInArrow(run, "doc_id string, content binary")
 
 
 def _lines(text: str | None) -> list[str]:
