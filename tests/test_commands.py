@@ -77,6 +77,20 @@ def test_hidden_words(spark):
     assert total.characters == len("Unseen text") + 4 + 7 + 7 and total.pages == [1] and total["count"] == 4
 
 
+def test_words_of_long_lines_are_not_hidden(spark, tmp_path):
+    import duckdb
+
+    from papyra.plans import files as plans
+
+    texts = ["WWWWWWWWWWWWWWWWWWWW " * 30, "some words", "@" * 700 + " end", "", None]
+    rows = [(k, turn, ("user", "assistant")[turn % 2], text) for k in range(2) for turn, text in enumerate(texts[k:])]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        want = con.execute(plans.SQL["pdf_hidden_text"]).fetchall()
+    assert sorted(tuple(r) for r in plans.pdf_hidden_text(spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 2
+
+
 def test_rules_over_streams(spark):
     from papyra.sources.pdf import Name, Stream
 
