@@ -6,11 +6,12 @@ token streams of all its pages make one text, whose suffixes are sorted as far a
 prefix that stands on many distinct pages of the host is boilerplate, the tokens that such prefixes cover are removed,
 and the unique runs stay.
 
-The suffix array is sparse and distributed: of ``SPARSE`` neighbouring suffixes at least the one with the smallest
-hash is in it, so every repeated run of ``LEAST + SPARSE - 1`` tokens is met, wherever it stands; shorter repeats are
-met as whole blocks. Suffixes are dealt by host and prefix, pages never are: a host with a third of all pages spreads
-over all tasks, its repeated prefixes are counted where they are made first, and no page is compared with a part of
-its host only. So results depend neither on partitions nor on the size of anything held.
+The suffix array is distributed. The suffixes of every place are in it: a run of ``LEAST`` tokens is met wherever in its
+block it stands. A suffix ends with its block, since the words before or after a menu are the page's own, and a block
+of fewer than ``LEAST`` tokens is met as a whole. Suffixes are dealt by host and prefix, pages never are: a host with a
+third of all pages spreads over tasks by its number of pages, its repeated prefixes are counted where they are made
+first, and no page is compared with a part of its host only. So results depend neither on partitions nor on the size
+of anything held. Prefixes travel as sorted differences of 56-bit hashes, which host and tokens make together.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ._common import lean, materialise, release, slices
 
-#: Tokens by which suffixes are sorted, and the number of neighbours of which one is in the array.
+#: Tokens by which suffixes are sorted, and the number of neighbours of which one is in the array: 1 takes them all.
 LEAST = 8
-SPARSE = 12
+SPARSE = 1
 #: Distinct pages, and share of the host's pages, on which a run must stand to be boilerplate: outside of main and
 #: article elements, and inside, where the page itself says that the text is its own.
 PAGES, SHARE = 3, 0.3
@@ -37,7 +38,11 @@ OWN_PAGES, OWN_SHARE = 5, 0.5
 #: Share of a block that must be covered for all of it to go; of other blocks the covered tokens go.
 COVERED = 0.5
 #: Suffixes that a task holds before it hands on their counts.
-HELD_SUFFIXES = 400_000
+HELD_SUFFIXES = 2_000_000
+#: Pages of a host whose prefixes are counted together: a larger host is dealt by ranges of its prefixes.
+HOST_PAGES = 256
+#: Bits of a prefix's hash.
+KEY_BITS = 56
 #: Boilerplate prefixes that are broadcast, at most: 9 bytes each. Beyond that they are joined.
 BROADCAST_PREFIXES = 2_000_000
 
@@ -211,7 +216,8 @@ def suffixes(texts: list[str], least: int = LEAST, sparse: int = SPARSE) -> tupl
     """The suffixes of a page's token stream that are in the array, and its short blocks.
 
     Places and prefix hashes of the former; number of the block and hash of the latter, blocks of fewer than
-    ``least + sparse - 1`` tokens.
+    ``least + sparse - 1`` tokens. A prefix lies in one block. With ``sparse`` 1 every place is in the array, else the one
+    with the smallest hash of so many neighbours.
     """
     digest = xxhash.xxh3_64_intdigest
     split = [t.split() for t in texts]
@@ -225,13 +231,40 @@ def suffixes(texts: list[str], least: int = LEAST, sparse: int = SPARSE) -> tupl
     prefix = np.zeros(n, _U)
     for k in range(least):
         prefix = _mix(prefix * _U(_ODD) + tokens[k : k + n])
-    near = np.lib.stride_tricks.sliding_window_view(prefix, min(sparse, n))
-    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    of = np.repeat(np.arange(len(texts)), lengths)
+    reach = least + sparse - 1
+    at = np.flatnonzero(of[: max(0, len(of) - reach + 1)] == of[reach - 1 :])
+    if sparse > 1 and len(at):
+        near = np.lib.stride_tricks.sliding_window_view(prefix, sparse)[at]
+        at = np.unique(near.argmin(axis=1) + at)
     return at, prefix[at], short, whole
 
 
 def _keyed(host: int, hashes: np.ndarray) -> np.ndarray:
-    return _mix(hashes ^ _mix(np.array([host & 0xFFFFFFFFFFFFFFFF], _U))).view(np.int64)
+    return (_mix(hashes ^ _mix(np.array([host & 0xFFFFFFFFFFFFFFFF], _U))) >> _U(64 - KEY_BITS)).view(np.int64)
+
+
+def _packed(keys: np.ndarray, places: np.ndarray) -> bytes:
+    """Sorted keys as bytes of their differences, and a number below 4096 for each; place by place, compressed."""
+    steps = np.diff(keys, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+    planes = np.concatenate([steps, places.astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
+    return len(keys).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes.T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = int.from_bytes(data[:8], "little"), KEY_BITS // 8
+    planes = np.frombuffer(pa.decompress(data[8:], n * (width + 2), "zstd", asbytes=True), np.uint8).reshape(width + 2, n)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = planes[:width].T
+    return np.cumsum(steps.view("<u8").reshape(n).astype(np.int64)), np.ascontiguousarray(planes[width:].T).view("<u2").reshape(n)
+
+
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """(key, n, a, b) with keys sorted and met once: numbers added, bitmaps united."""
+    order = np.argsort(columns[0], kind="stable")
+    keys, n, *bits = (c[order] for c in columns)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [keys[first], np.add.reduceat(n, first), *(np.bitwise_or.reduceat(b, first) for b in bits)]
 
 
 def cut(texts: list[str], boilerplate, least: int = LEAST, sparse: int = SPARSE) -> str:
@@ -255,15 +288,19 @@ def cut(texts: list[str], boilerplate, least: int = LEAST, sparse: int = SPARSE)
     return "\n\n".join(out)
 
 
-def _count(rows: DataFrame, least: int, sparse: int) -> DataFrame:
-    """(host, key, n, distinct): on how many pages of a host a prefix or short block stands, and on how many distinct ones.
+def _count(rows: DataFrame, hosts: DataFrame, least: int, sparse: int, pages: int) -> DataFrame:
+    """(host, key, n, distinct): on how many pages of a host a prefix or short block stands, and on how many distinct
+    ones, where both are ``pages`` or more. ``hosts`` has their numbers of pages: (of, all).
 
     Distinct pages are counted by two bitmaps of 64 places, each dealt by another hash of the text: never too many,
     too few only where bodies meet at a place in both. A bitmap has one size whatever the host's.
     """
+    large = hosts.where(F.col("all") > HOST_PAGES).select("of", F.ceil(F.col("all") / HOST_PAGES).alias("parts"))
+    parts = rows.sparkSession.sparkContext.broadcast({r["of"]: r["parts"] for r in large.collect()})
+    names = ["host", "part", "single", "several"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
         for batch in slices(batches, 256):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -271,33 +308,72 @@ def _count(rows: DataFrame, least: int, sparse: int) -> DataFrame:
                 _, prefix, _, whole = suffixes(texts, least, sparse)
                 keys = _keyed(host, np.unique(np.concatenate([prefix, whole])))
                 body = xxhash.xxh3_64_intdigest("\n".join(texts))
-                bits = (np.full(len(keys), 1 << (body >> at & 63), _U).view(np.int64) for at in (0, 32))
-                held.append((keys, np.full(len(keys), host), *bits))
+                held.setdefault(host, []).append((keys, np.full(len(keys), body & 63 | (body >> 32 & 63) << 6, np.uint16)))
                 size += len(keys)
             if size > HELD_SUFFIXES:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        keys, hosts, *bits = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((keys, hosts))
-        keys, hosts = keys[order], hosts[order]
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (hosts[1:] != hosts[:-1])]))
-        columns = [hosts[first], keys[first], np.diff([*first, len(keys)]), *(np.bitwise_or.reduceat(b[order], first) for b in bits)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "n", "a", "b"])
-
-    found = rows.where("host is not null").select("host", "html").mapInArrow(lean(emit), "host long, key long, n long, a long, b long")
-    distinct = F.greatest(F.bit_count(F.bit_or("a")), F.bit_count(F.bit_or("b")))
-    return found.groupBy("host", "key").agg(F.sum("n").alias("n"), distinct.alias("distinct"))
+                yield from flush(held)
+                held, size = {}, 0
+        yield from flush(held)
+
+    def flush(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for host, found in held.items():
+            keys, places = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            keys, places = keys[order], places[order]
+            n = parts.value.get(host, 1)
+            edges = np.searchsorted(keys, [-(-(k << KEY_BITS) // n) for k in range(1, n)]).tolist()
+            out = []
+            for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(keys)])):
+                own, at = keys[a:b], places[a:b]
+                new = np.concatenate([[True], own[1:] != own[:-1], [True]]) if len(own) else np.zeros(1, bool)
+                once = new[:-1] & new[1:]
+                more = _summed(_opened(own[~once], at[~once])) if not once.all() else [np.zeros(0, np.int64)] * 4
+                if len(own):
+                    out.append((host, k, _packed(own[once], at[once]), np.concatenate(more).astype("<i8").tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for batch in batches:
+            for host, part, single, several in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, part) != last:
+                    if held:
+                        yield result(last[0], held)
+                    last, held, size = (host, part), [], 0
+                held += [_opened(*_unpacked(single)), list(np.frombuffer(several, "<i8").reshape(4, -1))]
+                size += len(held[-2][0]) + len(held[-1][0])
+                if size > HELD_SUFFIXES:
+                    held = [_summed([np.concatenate(x) for x in zip(*held)])]
+                    size = 0
+        if held:
+            yield result(last[0], held)
+
+    def result(host: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        keys, n, a, b = _summed([np.concatenate(x) for x in zip(*held)])
+        often = n >= pages
+        keys, n, a, b = keys[often], n[often], a[often], b[often]
+        distinct = np.maximum(*(np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in (a, b)))
+        kept = distinct >= pages
+        columns = [np.full(int(kept.sum()), host), keys[kept], n[kept], distinct[kept]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "n", "distinct"])
+
+    found = rows.where("host is not null").select("host", "html").mapInArrow(lean(emit), "host long, part int, single binary, several binary")
+    dealt = found.repartition("host", "part").sortWithinPartitions("host", "part")
+    return dealt.mapInArrow(lean(count), "host long, key long, n long, distinct long")
+
+
+def _opened(keys: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """(key, n, a, b) of keys that stand on one page each."""
+    bits = (np.left_shift(_U(1), places.astype(_U) >> _U(at) & _U(63)).view(np.int64) for at in (0, 6))
+    return [keys, np.ones(len(keys), np.int64), *bits]
 
 
 def _boilerplate(rows: DataFrame, least: int, sparse: int, pages: tuple[int, float], own: tuple[int, float]) -> DataFrame:
     """(key, strong) of what is boilerplate outside of main and article elements, and where strong also inside."""
-    counted = _count(rows, least, sparse).where((F.col("n") >= pages[0]) & (F.col("distinct") >= pages[0]))
-    counted = materialise(counted, "repeated")
     hosts = rows.where("host is not null").groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("all"))
+    counted = materialise(_count(rows, hosts, least, sparse, pages[0]), "repeated")
     found = counted.join(hosts.where(F.col("all") >= pages[0]), F.col("host") == F.col("of")).where(F.col("n") >= pages[1] * F.col("all"))
     strong = (F.col("distinct") >= own[0]) & (F.col("n") >= own[1] * F.col("all"))
     out = materialise(found.select("key", strong.alias("strong")), "boilerplate")

@@ -162,6 +162,30 @@ def test_every_long_repeat_is_met(seed):
         assert found[0] & found[1]
 
 
+def test_every_place_is_looked_at(spark, monkeypatch):
+    """A run of the fewest tokens goes wherever it stands in a block; what follows a run in the next block stays."""
+    r = random.Random(3)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    runs = [say(H.LEAST) for _ in range(20)]
+    stories = [[(say(9), run, say(9)) for run in runs] for _ in range(6)]
+    tell = lambda story: "".join(f"<p>{a} {run} {b}</p>" for a, run, b in story) + "<ul><li>Home<li>News<li>About us</ul><h1>Story of one</h1>"
+    pages = [(k, "http://h.example/", tell(story) + f"<p>{say(3)}</p>") for k, story in enumerate(stories)]
+    want = ["\n\n".join(f"{a} {b}" for a, _, b in story) for story in stories]
+    for host_pages in (256, 1):
+        monkeypatch.setattr(H, "HOST_PAGES", host_pages, raising=False)
+        got = rows_of(H.extract(frame(spark, pages, 3)))
+        assert [x[2].rsplit("\n\n", 1)[0] for x in got] == want and got == brute(pages)
+
+
+def test_packed_prefixes_open_again():
+    r = np.random.default_rng(1)
+    keys = np.sort(np.concatenate([[0, (1 << H.KEY_BITS) - 1], r.integers(0, 1 << H.KEY_BITS, 500)]))
+    places = r.integers(0, 4096, len(keys)).astype(np.uint16)
+    for n in (0, 1, len(keys)):
+        got = H._unpacked(H._packed(keys[:n], places[:n]))
+        assert (got[0] == keys[:n]).all() and (got[1] == places[:n]).all()
+
+
 def test_table(spark):
     rows = [
         (1, "http://a/x", PAGE), (2, "http://a/y", None), (2, "http://a/y", None), (None, None, "<p>x"), (3, "odd", ""),
