@@ -10,10 +10,12 @@ Only first occurrences within a task carry their bytes through the shuffle; late
 then. A chunk that a third of all documents share so reaches its reducer once per task, not once per document.
 
 Chunks leave out what a shared passage has next to differing text, and short passages without a whole chunk. So
-op3 and :func:`clean` compare windows instead, which begin and end at every line: the fewest lines from a line on,
-and up to a line, that make ``LEAST_LINES`` and ``LEAST_BYTES``. Between them they cover a shared run of lines to
-both its ends. A window goes through the shuffle as 96 bits of its digest and is not compared
-byte by byte.
+op3 and :func:`clean` extend them (:func:`repeated_runs`). One polynomial rolls over the hashes of the lines. Where it
+is least over ``ROLLED`` lines a chunk ends; and beside the chunks stand windows, which begin and end at every line: the
+fewest lines from a line on, and up to a line, that make ``LEAST_LINES`` and ``LEAST_BYTES``. Between them they cover a
+shared run of lines to both its ends. Chunks and windows alike go through the shuffle as 64 bits of their digests,
+packed by ranges of these. What has its digest in common with something earlier is joined to runs, the bytes of the
+earlier run are fetched, and only what is the same byte by byte goes.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ HELD_BYTES = 48 << 20
 #: Longer lines are cut after words whose hash says so, every WORDS_A_LINE words on average.
 LONG_LINE = 200
 WORDS_A_LINE = 8
-#: Windows that a task sorts at a time.
+#: Lines over which the polynomial rolls that ends chunks.
+ROLLED = 2
+#: Chunks and windows that a task sorts at a time, and ranges of their digests.
 HELD_WINDOWS = 400_000
+RANGE_BITS = 11
 #: Bits for the length of a span in a number that also holds its start.
 SPAN_BITS = 31
 
@@ -192,10 +197,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """All windows: index of the text, start, end, and the two halves of the digest; by text, then start.
+    """All chunks and windows: index of the text, start, end, and the digest; by text, then start.
 
-    Lines count without white space at their ends. The lines of all texts are one sequence, in which no window reaches
-    over the end of its text.
+    Lines count without white space at their ends. The lines of all texts are one sequence, in which no window and no
+    chunk reaches over the end of its text.
     """
     lines: list[bytes] = []
     edges: list[int] = []
@@ -210,7 +215,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         edges += stops
     n = len(lines)
     if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     text_of = np.repeat(np.arange(len(texts)), counts)
     last = np.cumsum(counts)[text_of]
     first = last - counts[text_of]
@@ -218,20 +223,35 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.array(edges, np.int64)
     starts = np.where(at == first, 0, np.concatenate([[0], ends[:-1]]))
     lengths = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, n))])
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
+    powers, back = _power_tables(n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n])])
+    rolled = lambda a, b: (sums[b] - sums[a]) * back[a]
     to = np.maximum(np.searchsorted(lengths, lengths[:-1] + LEAST_BYTES), at + LEAST_LINES)
     fro = np.minimum(np.searchsorted(lengths, lengths[1:] - LEAST_BYTES, side="right") - 1, at + 1 - LEAST_LINES)
     forward, backward = to <= last, fro >= first
-    a = np.concatenate([at[forward], fro[backward]])
-    b = np.concatenate([to[forward], at[backward] + 1])
+    begin, end = _chunk_lines(rolled, at, first, last)
+    whole = (end - begin >= LEAST_LINES) & (lengths[end] - lengths[begin] >= LEAST_BYTES)
+    a = np.concatenate([at[forward], fro[backward], begin[whole]])
+    b = np.concatenate([to[forward], at[backward] + 1, end[whole]])
     pairs = np.unique(a * (n + 1) + b)
     a, b = pairs // (n + 1), pairs % (n + 1)
-    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<u8").reshape(n, 2)
-    powers, back = _power_tables(n)
-    digest = []
-    for half in (0, 1):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[:, half] * powers[:n])])
-        digest.append(((sums[b] - sums[a]) * back[a]).view(np.int64))
-    return text_of[a], starts[a], ends[b - 1], digest[0], digest[1] & 0xFFFFFFFF
+    return text_of[a], starts[a], ends[b - 1], rolled(a, b).view(np.int64)
+
+
+def _chunk_lines(rolled, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line of each chunk and the line after it: a chunk ends at the end of its text, and at a line where the
+    hash that rolls over it and the lines before is smaller than at both its neighbours."""
+    most = np.uint64((1 << 64) - 1)
+    full = at + 1 - ROLLED >= first
+    h = np.where(full, rolled(np.maximum(at + 1 - ROLLED, 0), at + 1), most)
+    h ^= h >> np.uint64(32)  # the low bits of the polynomial count as much as the high ones
+    h *= np.uint64(_BASE)
+    before, after = np.roll(h, 1), np.roll(h, -1)
+    inner = full & (at > first + ROLLED - 1) & (at < last - 1)
+    stop = inner & (h < before) & (h < after) | (at == last - 1)
+    end = at[stop] + 1
+    return np.maximum(np.concatenate([[0], end[:-1]]), first[end - 1]), end
 
 
 _tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -248,112 +268,259 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return made
 
 
+def _content(text: bytes, start: int, end: int) -> bytes:
+    """What is compared: the bytes of the lines, white space at their ends left out."""
+    return b" ".join(text[start:end].split())
+
+
+_ENTRY = (("steps", "<u8"), ("ids", "<i8"), ("row", "<i8"), ("start", "<u4"), ("size", "<u4"))
+_ENTRY_BYTES = sum(np.dtype(kind).itemsize for _, kind in _ENTRY)
+
+
+def _pack(hi: np.ndarray, known: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Entries (digest, whether the id is known, id, row, start, size) in order of their digests as bytes, the same
+    place of all entries together, compressed."""
+    *others, size = columns
+    columns = (np.diff(hi, prepend=hi[:1]), *others, size | (known ^ 1) << SPAN_BITS)
+    planes = np.concatenate([x.astype(kind).view(np.uint8).reshape(len(hi), -1) for x, (_, kind) in zip(columns, _ENTRY)], axis=1)
+    return len(hi).to_bytes(8, "little") + int(hi[0]).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes.T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n, least = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    planes = np.frombuffer(pa.decompress(data[16:], n * _ENTRY_BYTES, "zstd", asbytes=True), np.uint8).reshape(_ENTRY_BYTES, n)
+    out, at = [], 0
+    for _, kind in _ENTRY:
+        to = at + np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(planes[at:to].T).view(kind).reshape(n))
+        at = to
+    steps, ids, row, start, size = out
+    size = size.astype(np.int64)
+    return [np.cumsum(steps) + np.uint64(least), size >> SPAN_BITS ^ 1, ids, row, start.astype(np.int64), size & (1 << SPAN_BITS) - 1]
+
+
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte spans (__id, __row, start, end) of all windows but the first of each; they overlap.
+    """Byte spans (__id, __row, start, end, like, data) of all chunks and windows but the first of each; they overlap.
 
     Order and equal rows as in :func:`repeated_spans`. Of a window that overlaps the first one in the same text,
     the part behind that one goes.
+
+    A task compares what it meets itself, and hands on its first occurrences without bytes. Those whose digest was met
+    before them elsewhere come with the bytes that stand there, ``data``, or, within one text, with the place, ``like``:
+    :func:`dedup` compares them with its own text before it cuts. Something of other bytes than the first with its
+    digest stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows = rows.select("__id", F.xxhash64("__id", "__text").alias("__row"), "__text")
-    spans = "__id long, __row long, start long, end long"
-
-    def batch_of(columns: list[np.ndarray], keyed: bool) -> pa.RecordBatch:
-        hi, lo, known, ids, row, start, end = columns
-        none = None if keyed else np.ones(len(hi), bool)
-        arrays = [pa.array(hi, mask=none), pa.array(lo, mask=none), pa.array(ids, mask=known == 0)]
-        span = (start << SPAN_BITS) + end - start
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(row), pa.array(span)], names=["hi", "lo", "__id", "__row", "span"])
-
-    def split(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """First windows, and what has to go of the others; columns are sorted."""
-        hi, lo, known, ids, row, start, end = columns
-        new = np.ones(len(hi), bool)
-        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        same = (known == known[first]) & (ids == ids[first]) & (row == row[first])
-        start = np.where(same, np.maximum(start, end[first]), start)
-        gone = (np.arange(len(hi)) != first) & (start < end) & ~(same & (columns[5] == columns[5][first]))
-        return [c[new] for c in columns], [c[gone] for c in (hi, lo, known, ids, row, start, end)]
+    low = (1 << SPAN_BITS) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         keys: list[tuple[np.ndarray, ...]] = []
-        size = docs = 0
+        texts: list[bytes] = []
+        size = 0
         for batch in slices(batches, 512):
-            of, start, end, hi, lo = windows(raw_utf8(batch.column(2)))
+            own = raw_utf8(batch.column(2))
+            of, start, end, hi = windows(own)
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((hi, lo, of + docs, start, end))
+            held.append((hi, of + len(texts), start, end))
             keys.append((known, ids.fill_null(0).to_numpy(), batch.column(1).to_numpy()))
-            size, docs = size + len(of), docs + batch.num_rows
+            texts += own
+            size += len(of)
             if size > HELD_WINDOWS:
-                yield from flush(held, keys)
-                held, keys, size, docs = [], [], 0, 0
+                yield from flush(held, keys, texts)
+                held, keys, texts, size = [], [], [], 0
         if size:
-            yield from flush(held, keys)
+            yield from flush(held, keys, texts)
 
-    def flush(held: list[tuple[np.ndarray, ...]], keys: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        hi, lo, of, start, end = (np.concatenate(x) for x in zip(*held))
+    def flush(held: list[tuple[np.ndarray, ...]], keys: list[tuple[np.ndarray, ...]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        hi, of, start, end = (np.concatenate(x) for x in zip(*held))
         known, ids, row = (np.concatenate(x) for x in zip(*keys))
         # Texts in order, so that a stable sort by digest is all that the windows, which are in order by text, need.
         rank = np.empty(len(known), np.int64)
-        rank[np.lexsort((row, ids, known))] = np.arange(len(known))
+        in_order = np.lexsort((row, ids, known))
+        other = [x[in_order][1:] != x[in_order][:-1] for x in (known, ids, row)]
+        rank[in_order] = np.cumsum(np.concatenate([[0], other[0] | other[1] | other[2]]))
         order = np.argsort(rank[of], kind="stable")
-        order = order[np.argsort(hi[order], kind="stable")]
-        same = hi[order[1:]] == hi[order[:-1]]
-        if (same & (lo[order[1:]] != lo[order[:-1]])).any():
-            order = order[np.lexsort((lo[order], hi[order]))]
-        of = of[order]
-        firsts, gone = split([hi[order], lo[order], known[of], ids[of], row[of], start[order], end[order]])
-        for part, keyed in ((firsts, True), (gone, False)):
-            for at in range(0, len(part[0]), 50_000):
-                yield batch_of([c[at : at + 50_000] for c in part], keyed)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: list[np.ndarray] | None = None
+        order = order[np.argsort(hi[order].view(np.uint64), kind="stable")]
+        hi, of, start, end = hi[order].view(np.uint64), of[order], start[order], end[order]
+        new = np.ones(len(hi), bool)
+        new[1:] = hi[1:] != hi[:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        same = rank[of] == rank[of[first]]
+        later = np.flatnonzero(~new & ~(same & (start == start[first]) & (end == end[first])))
+        # Byte by byte; what only shares a digest is handed on like a first occurrence.
+        equal = np.zeros(len(hi), bool)
+        met, data = -1, b""
+        for k, f, t, a, b in zip(later.tolist(), first[later].tolist(), of[later].tolist(), start[later].tolist(), end[later].tolist()):
+            if f != met:
+                met, data = f, _content(texts[of[f]], int(start[f]), int(end[f]))
+            equal[k] = _content(texts[t], a, b) == data
+        keyed = new.copy()
+        keyed[later] = ~equal[later]
+        entries = [hi[keyed], *(x[of[keyed]] for x in (known, ids, row)), start[keyed], (end - start)[keyed]]
+        hi = entries[0]
+        edges = np.searchsorted(hi >> np.uint64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64)).tolist()
+        packed = [(k, _pack(*(x[a:b] for x in entries))) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        for k in range(0, len(packed), 512):
+            part = packed[k : k + 512]
+            yield batch_of(part, *(pa.nulls(len(part), pa.int64()) for _ in range(3)))
+        start = np.where(same, np.maximum(start, end[first]), start)
+        gone = np.flatnonzero(equal & (start < end))
+        of, start, end = of[gone], start[gone], end[gone]
+        order = np.lexsort((start, of))
+        of, start, end = of[order], start[order], end[order]
+        if len(of):  # overlapping spans of a text are one
+            reach = np.maximum.accumulate((of << 40) + end)
+            opens = np.concatenate([[True], (of[1:] != of[:-1]) | ((of[1:] << 40) + start[1:] >= reach[:-1])])
+            closes = reach[np.concatenate([np.flatnonzero(opens)[1:] - 1, [len(of) - 1]])] & ((1 << 40) - 1)
+            of, start = of[opens], start[opens]
+            span = (start << SPAN_BITS) + closes - start
+            for k in range(0, len(of), 50_000):
+                t = of[k : k + 50_000]
+                yield batch_of([(None, None)] * len(t), pa.array(ids[t], mask=known[t] == 0), pa.array(row[t]), pa.array(span[k : k + 50_000]))
+
+    def batch_of(packed: list[tuple], *columns: pa.Array) -> pa.RecordBatch:
+        ranges, data = zip(*packed)
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(data, pa.binary()), *columns], names=["range", "data", "__id", "__row", "span"])
+
+    names = ["__id", "__row", "span", "of", "like"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What has its digest in common with something before it, and that; spans that were compared pass."""
+        last, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            passed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-            hi, lo, ids, row, span = (batch.column(k).fill_null(0).to_numpy() for k in range(5))
-            start = span >> SPAN_BITS
-            columns = [hi, lo, known, ids, row, start, start + (span & (1 << SPAN_BITS) - 1)]
-            keyed = [c[~passed] for c in columns]
-            gone = [c[passed] for c in columns]
-            if len(keyed[0]):
-                if first is not None:
-                    keyed = [np.concatenate([f, c]) for f, c in zip(first, keyed)]
-                firsts, more = split(keyed)
-                first = [c[-1:] for c in firsts]
-                gone = [np.concatenate(x) for x in zip(gone, more)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gone[3], mask=gone[2] == 0), *(pa.array(c) for c in gone[4:])], names=["__id", "__row", "start", "end"]
-            )
-
-    found = rows.mapInArrow(lean(emit), "hi long, lo long, __id long, __row long, span long")
-    dealt = found.repartition(F.coalesce("hi", "__row")).sortWithinPartitions("hi", "lo", "__id", "__row", "span")
-    return dealt.mapInArrow(lean(compare), spans)
+            compared = batch.filter(batch.column(0).is_null())
+            if compared.num_rows:
+                yield pa.RecordBatch.from_arrays([*compared.columns[2:], *(pa.nulls(compared.num_rows, pa.int64()) for _ in range(2))], names=names)
+            rest = batch.filter(batch.column(0).is_valid())
+            for k, data in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist()):
+                if k != last and held:
+                    yield repeated(held)
+                    held = []
+                last = k
+                held.append(_unpack(data))
+        if held:
+            yield repeated(held)
+
+    def repeated(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order = np.argsort(columns[0], kind="stable")
+        hi = columns[0][order]
+        again = hi[1:] == hi[:-1]
+        twice = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        hi, known, ids, row, start, size = (c[order[twice]] for c in columns)
+        order = np.lexsort((size, start, row, ids, known, hi))
+        hi, known, ids, row, start, size = (c[order] for c in (hi, known, ids, row, start, size))
+        new = np.ones(len(hi), bool)
+        new[1:] = hi[1:] != hi[:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = ~new & ~((row == row[first]) & (start == start[first]) & (size == size[first]))
+        first, span = first[later], (start << SPAN_BITS) + size
+        columns = [pa.array(ids[later], mask=known[later] == 0), *(pa.array(x) for x in (row[later], span[later], row[first], span[first]))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Overlapping spans of a text that are as far from overlapping ones of another are one."""
+        for batch in slices(batches, 256):
+            out: list[tuple] = []
+            for key, row, met in zip(*(c.to_pylist() for c in batch.columns)):
+                others = []
+                for x in met:
+                    span, of, like = x["span"], x["of"], x["like"]
+                    if of is None or of == row:
+                        out.append((key, row, span, row, like))
+                    else:
+                        a, b = span >> SPAN_BITS, like >> SPAN_BITS
+                        others.append((of, b - a, a, a + (span & low), b + (like & low)))
+                run: list[int] = []
+                for of, shift, a, end, like_end in sorted(others):
+                    if run and run[:2] == [of, shift] and a < run[3] and run[4] - run[3] == shift:
+                        if end > run[3]:
+                            run[3], run[4] = end, like_end
+                    else:
+                        if run:
+                            out.append(whole(key, row, *run))
+                        run = [of, shift, a, end, like_end]
+                if run:
+                    out.append(whole(key, row, *run))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+    def whole(key: int | None, row: int, of: int, shift: int, a: int, end: int, like_end: int) -> tuple:
+        return key, row, (a << SPAN_BITS) + end - a, of, (a + shift << SPAN_BITS) + like_end - a - shift
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of what comes first."""
+        kinds = (*(pa.int64() for _ in range(5)), pa.binary())
+        last = None
+        for batch in slices(batches, 64):
+            out: list[tuple] = []
+            for mine, key, met, text in zip(*(batch.column(k).to_pylist() for k in ("__row", "__id", "__of")), raw_utf8(batch.column("__text"))):
+                if (mine, key) == last:  # an equal row has the same to say
+                    continue
+                last = (mine, key)
+                for x in met:
+                    span, like, data = x["span"], x["like"], None
+                    if x["__row"] != mine:
+                        start = like >> SPAN_BITS
+                        like, data = None, _content(text, start, start + (like & low))
+                    start = span >> SPAN_BITS
+                    out.append((x["__id"], x["__row"], start, start + (span & low), like, data))
+            for k in range(0, len(out), 20_000):
+                columns = zip(*out[k : k + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["__id", "__row", "start", "end", "like", "data"])
+
+    places = "__id long, __row long, span long, of long, like long"
+    found = rows.mapInArrow(lean(emit), "range long, data binary, __id long, __row long, span long")
+    dealt = found.repartition(F.coalesce("range", "__row")).sortWithinPartitions("range")
+    met = dealt.mapInArrow(lean(meet), places)
+    runs = met.groupBy("__id", "__row").agg(F.collect_list(F.struct("span", "of", "like"))).mapInArrow(lean(join_runs), places)
+    asked = runs.groupBy(F.col("of").alias("__key")).agg(F.collect_list(F.struct("__id", "__row", "span", "like")).alias("__of"))
+    # All columns go along, so that this join and that of the cut read one and the same exchange.
+    texts = _with_row(docs, id_col, text_col).join(asked, F.col("__row") == F.col("__key")).drop("__key")
+    texts = texts.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string")})
+    return texts.mapInArrow(lean(fetch), "__id long, __row long, start long, end long, like long, data binary")
+
+
+def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=repeated_spans) -> DataFrame:
     """``docs`` with what ``find`` gives cut out of the text, and ``__cut``: struct(n_spans, n_bytes, n_all).
 
-    Overlapping spans count as one.
+    Overlapping spans count as one, windows also where they touch. A span that comes with bytes, or the place in its text, that it is like goes only if
+    it is the same byte by byte, white space at the ends of lines left out.
 
     Untouched texts, null ones included, stay byte for byte. A text that loses something loses white space at its
     end as well. Other columns stay; an older ``__cut`` is replaced.
     """
     docs = docs.drop("__cut", "__row", "__spans", "__key", "__of")
-    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    cuts = (
-        find(docs, id_col=id_col, text_col=text_col)
-        .groupBy(F.col("__id").alias("__of"), F.col("__row").alias("__key"))
-        .agg(F.collect_set(F.shiftleft("start", SPAN_BITS) + F.col("end") - F.col("start")).alias("__spans"))
-    )
-    same = (F.col("__row") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__of"))
-    joined = docs.withColumn("__row", row).join(cuts, same, "left").drop("__row", "__key", "__of")
+    found = find(docs, id_col=id_col, text_col=text_col)
+    touching = "data" in found.columns
+    if not touching:
+        found = found.withColumns({"like": F.lit(None).cast("long"), "data": F.lit(None).cast("binary")})
+    cut = F.struct(F.col("__id").alias("of"), "start", "end", "like", "data")
+    cuts = found.groupBy(F.col("__row").alias("__key")).agg(F.collect_list(cut).alias("__spans"))
+    joined = _with_row(docs, id_col, text_col).join(cuts, F.col("__row") == F.col("__key"), "left").drop("__row", "__key")
+    joined = joined.withColumn("__spans", F.filter("__spans", lambda x: x["of"].eqNullSafe(F.col(id_col).cast("long"))))
+
+    def same(text: bytes, found: list[dict]) -> Iterator[tuple[int, int]]:
+        for x in found:
+            a, b = x["start"], x["end"]
+            if x["data"] is not None:
+                if _content(text, a, b) != x["data"]:
+                    continue
+            elif x["like"] is not None:
+                at = x["like"] >> SPAN_BITS
+                to = at + (x["like"] & (1 << SPAN_BITS) - 1)
+                if _content(text, a, b) != _content(text, at, to):
+                    continue
+                a = max(a, to)
+            if a < b:
+                yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_spans", pa.int64()), ("n_bytes", pa.int64()), ("n_all", pa.int64())])
@@ -365,15 +532,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fi
                 n_spans, n, text = 0, 0, texts[k]
                 if cut:
                     pieces, last = [], 0
-                    for s in sorted(cut):
-                        a = s >> SPAN_BITS
-                        b = a + (s & (1 << SPAN_BITS) - 1)
-                        n_spans += a >= last
+                    for a, b in sorted(same(text, cut)):
+                        n_spans += a > last or a == last and (not touching or not n_spans)
                         if b > last:
                             pieces.append(text[last:a])
                             n += b - max(a, last)
                             last = b
-                    texts[k] = b"".join([*pieces, text[last:]]).rstrip()
+                    if last:
+                        texts[k] = b"".join([*pieces, text[last:]]).rstrip()
                 info.append({"n_spans": n_spans, "n_bytes": n, "n_all": len(text or b"")})
             columns, names = list(batch.columns), list(batch.schema.names)
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from papyra.llm import line_dedup as L
@@ -152,6 +153,49 @@ def test_runs_like_brute_force(make_docs, prose):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_runs_are_compared_byte_by_byte(make_docs, prose, monkeypatch, parts):
+    """Windows of different bytes whose digests are equal, within a task and across tasks."""
+    p, q = prose(77, 60).replace("\n", " "), prose(78, 30).replace("\n", " ")
+    rows = [(k, f"{prose(k, 20)}. {p if k % 2 else q} {prose(300 + k, 20)}. {q if k % 3 else p}") for k in range(10)]
+    rows += [(52, p), (52, p), (None, f"{q}. {p}"), (54, (p + " ") * 3)]
+    want = {(i, t): out for (i, t), out in brute_runs(rows).items()}
+    exact = L.windows
+
+    def few(texts):
+        *places, digest = exact(texts)
+        return *places, digest % modulus
+
+    for modulus in (7, 1 << 40):
+        monkeypatch.setattr(L, "windows", few)
+        got = {r.doc_id: r.text for r in L.dedup(make_docs(rows).repartition(parts), find=L.repeated_runs).collect()}
+        for (i, _), out in want.items():
+            # Nothing goes that does not stand elsewhere before; where digests differ, all of that goes.
+            rest = iter(got[i].split())
+            assert all(w in rest for w in out.split()) and (modulus == 7 or got[i] == out)
+
+
+def test_chunks_are_among_what_is_compared(prose):
+    """Chunks end where the hash that rolls over the lines is least, so they fall into step behind a difference."""
+    body = prose(4, 400).encode()
+    for text in (body, b"Other, beginning here. " + body):
+        of, start, end, digest = L.windows([b"", text, b"a. b."])
+        n = len(L.short_line_ends(text))
+        edges = [0, *L.short_line_ends(text)]
+        lines = np.array([L.xxhash.xxh3_64_intdigest(text[a:b].rstrip()) for a, b in zip(edges, edges[1:])], np.uint64)
+        at = np.arange(n)
+        powers, back = L._power_tables(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers[:n])])
+        a, b = L._chunk_lines(lambda x, y: (sums[y] - sums[x]) * back[x], at, at * 0, at * 0 + n)
+        assert a[0] == 0 and b[-1] == n and (a[1:] == b[:-1]).all() and (a < b).all() and 2 < n / len(a) < 6
+        spans = set(zip(start[of == 1].tolist(), end[of == 1].tolist()))
+        long = [(edges[x], edges[y]) for x, y in zip(a, b) if y - x >= L.LEAST_LINES and edges[y] - edges[x] > 2 * L.LEAST_BYTES]
+        assert long and set(long) <= spans
+        chunks = {text[x:y] for x, y in long}
+        shared = chunks if text is body else shared & chunks
+    assert len(shared) >= len(long) - 2
+
+
 def left(df):
     return {r.doc_id: r.text for r in L.dedup(df, find=L.repeated_runs).collect()}
 
@@ -182,6 +226,14 @@ def test_passages_without_stops_are_found(make_docs, prose):
         assert len(rows[k][1]) - len(out[k]) > len(p) / 2 and out[k].startswith(plain(10 + k, 60)) and out[k].endswith(plain(20 + k, 60))
 
 
+def test_runs_are_counted_alike_for_any_partitions(make_docs, prose):
+    t = prose(3, 80) + ".\n"
+    rows = [(k, prose(60 + k % 5, 40) + ". " + t * (1 + k % 3) + "a. b, c: d! " * 40) for k in range(20)]
+    counted = lambda n: sorted((r.doc_id, r["__cut"].n_spans) for r in L.dedup(make_docs(rows).repartition(n), find=L.repeated_runs).collect())
+    once = counted(1)
+    assert counted(7) == once and dict(once)[0] == 1 and dict(once)[19] == 1
+
+
 def test_first_of_a_repeat_inside_a_text_stays(make_docs, prose):
     t = prose(3, 80) + ".\n"
     out = left(make_docs([(1, t * 5), (2, "a. " * 5_000), (3, None), (None, prose(8, 90)), (4, prose(8, 90))]))
