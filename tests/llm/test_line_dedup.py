@@ -163,8 +163,8 @@ def test_runs_are_compared_byte_by_byte(make_docs, prose, monkeypatch, parts):
     exact = L.windows
 
     def few(texts):
-        *places, digest = exact(texts)
-        return *places, digest % modulus
+        found = exact(texts)
+        return *found[:3], *(x % modulus for x in found[3:])
 
     for modulus in (7, 1 << 40):
         monkeypatch.setattr(L, "windows", few)
