@@ -43,6 +43,21 @@ def test_line_stage(stages):
     assert dict(pairs(stages[2])) == want and any(t != dict(before)[i] for i, t in want.items())
 
 
+def test_line_stage_compares_bytes(spark, make_docs, prose, monkeypatch):
+    """With digests that mean nothing, no document loses what does not stand elsewhere before."""
+    from papyra.llm import line_dedup as L
+
+    notice = prose(41, 90).replace("\n", " ") + "."
+    rows = [(k, prose(50 + k, 60) + ".") for k in range(6)] + [(10, notice), (11, prose(70, 30) + ". " + notice)]
+    df = make_docs(rows)
+    want = dict(pairs(C.drop_repeated_lines(spark, df, "")))
+    assert want == dict(rows[:7]) | {11: prose(70, 30) + "."}
+    exact = L.windows
+    monkeypatch.setattr(L, "windows", lambda texts: (*(found := exact(texts))[:3], *(x % 3 for x in found[3:])))
+    got = dict(pairs(C.drop_repeated_lines(spark, df, "")))
+    assert {i: got[i] for i in range(6)} == {i: want[i] for i in range(6)} and got[10] == notice and got[11].startswith(want[11])
+
+
 def test_near_dedup_stage(stages):
     want = sorted(i for i, c in near(pairs(stages[2])) if i == c)
     assert sorted(i for i, _ in pairs(stages[3])) == want
