@@ -15,12 +15,16 @@ is least over ``ROLLED`` lines a chunk ends; and beside the chunks stand windows
 fewest lines from a line on, and up to a line, that make ``LEAST_LINES`` and ``LEAST_BYTES``. Between them they cover a
 shared run of lines to both its ends. Chunks and windows alike go through the shuffle as 64 bits of their digests,
 packed by ranges of these. What has its digest in common with something earlier is joined to runs, the bytes of the
-earlier run are fetched, and only what is the same byte by byte goes.
+earlier run are fetched, and only what is the same byte by byte goes. Where a run is not, its chunks and windows are
+compared one by one; those of other bytes than the first with their digest go on with their bytes, and are compared with
+each other. So a digest only says what is compared, never what goes or stays.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,9 +272,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return made
 
 
-def _content(text: bytes, start: int, end: int) -> bytes:
-    """What is compared: the bytes of the lines, white space at their ends left out."""
-    return b" ".join(text[start:end].split())
+def _inner(ends: list[int], start: int, end: int) -> list[int]:
+    return ends[bisect_right(ends, start) : bisect_left(ends, end)]
+
+
+def _lines(text: bytes, ends: list[int], start: int, end: int) -> list[bytes]:
+    """What is compared: the bytes of the lines of a span, white space at their ends left out."""
+    edges = [start, *_inner(ends, start, end), end]
+    return [text[a:b].rstrip() for a, b in zip(edges, edges[1:])]
 
 
 _ENTRY = (("steps", "<u8"), ("ids", "<i8"), ("row", "<i8"), ("start", "<u4"), ("size", "<u4"))
@@ -300,15 +309,14 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte spans (__id, __row, start, end, like, data) of all chunks and windows but the first of each; they overlap.
+    """Byte spans (__id, __row, start, end) of all chunks and windows but the first of each; they overlap.
 
     Order and equal rows as in :func:`repeated_spans`. Of a window that overlaps the first one in the same text,
     the part behind that one goes.
 
     A task compares what it meets itself, and hands on its first occurrences without bytes. Those whose digest was met
-    before them elsewhere come with the bytes that stand there, ``data``, or, within one text, with the place, ``like``:
-    :func:`dedup` compares them with its own text before it cuts. Something of other bytes than the first with its
-    digest stays.
+    before them elsewhere meet the bytes that stand there, or, within one text, the place, and are compared. Of what has
+    other bytes than the first with its digest, all but the first of the same bytes go.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows = rows.select("__id", F.xxhash64("__id", "__text").alias("__row"), "__text")
@@ -353,10 +361,19 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         # Byte by byte; what only shares a digest is handed on like a first occurrence.
         equal = np.zeros(len(hi), bool)
         met, data = -1, b""
+        ends: dict[int, list[int]] = {}
+
+        def lines(t: int, a: int, b: int) -> list[bytes]:
+            if t not in ends:
+                ends[t] = short_line_ends(texts[t])
+            return _lines(texts[t], ends[t], a, b)
+
         for k, f, t, a, b in zip(later.tolist(), first[later].tolist(), of[later].tolist(), start[later].tolist(), end[later].tolist()):
             if f != met:
-                met, data = f, _content(texts[of[f]], int(start[f]), int(end[f]))
-            equal[k] = _content(texts[t], a, b) == data
+                met, place = f, (int(of[f]), int(start[f]), int(end[f]))
+                data = texts[place[0]][place[1] : place[2]].rstrip()
+            own = texts[t][a:b].rstrip()
+            equal[k] = own == data or own.split() == data.split() and lines(t, a, b) == lines(*place)
         keyed = new.copy()
         keyed[later] = ~equal[later]
         entries = [hi[keyed], *(x[of[keyed]] for x in (known, ids, row)), start[keyed], (end - start)[keyed]]
@@ -422,7 +439,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlapping spans of a text that are as far from overlapping ones of another are one."""
+        """Overlapping spans of a text that are as far from overlapping ones of another are one, ``parts`` of it."""
         for batch in slices(batches, 256):
             out: list[tuple] = []
             for key, row, met in zip(*(c.to_pylist() for c in batch.columns)):
@@ -430,30 +447,34 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 for x in met:
                     span, of, like = x["span"], x["of"], x["like"]
                     if of is None or of == row:
-                        out.append((key, row, span, row, like))
+                        out.append((key, row, span, row, like, None))
                     else:
                         a, b = span >> SPAN_BITS, like >> SPAN_BITS
                         others.append((of, b - a, a, a + (span & low), b + (like & low)))
                 run: list[int] = []
+                parts: list[tuple[int, int]] = []
                 for of, shift, a, end, like_end in sorted(others):
-                    if run and run[:2] == [of, shift] and a < run[3] and run[4] - run[3] == shift:
-                        if end > run[3]:
-                            run[3], run[4] = end, like_end
+                    if run and run[:2] == [of, shift] and a < run[3] and run[4] - run[3] == shift and (end > run[3]) == (like_end > run[4]):
+                        run[3:] = max(end, run[3]), max(like_end, run[4])
                     else:
                         if run:
-                            out.append(whole(key, row, *run))
-                        run = [of, shift, a, end, like_end]
+                            out.append(whole(key, row, parts, *run))
+                        run, parts = [of, shift, a, end, like_end], []
+                    parts.append((a, end, like_end))
                 if run:
-                    out.append(whole(key, row, *run))
+                    out.append(whole(key, row, parts, *run))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+                kinds = (*(pa.int64() for _ in range(5)), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=[*names, "parts"])
 
-    def whole(key: int | None, row: int, of: int, shift: int, a: int, end: int, like_end: int) -> tuple:
-        return key, row, (a << SPAN_BITS) + end - a, of, (a + shift << SPAN_BITS) + like_end - a - shift
+    def whole(key: int | None, row: int, parts: list[tuple], of: int, shift: int, a: int, end: int, like_end: int) -> tuple:
+        """A run; its parts as (start in the run, length, length of what it is like)."""
+        packed = array("I", [n for x, y, z in parts for n in (x - a, y - x, z - x - shift)]).tobytes() if len(parts) > 1 else None
+        return key, row, (a << SPAN_BITS) + end - a, of, (a + shift << SPAN_BITS) + like_end - a - shift, packed
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of what comes first."""
-        kinds = (*(pa.int64() for _ in range(5)), pa.binary())
+        """The bytes of what comes first, and where its lines end."""
+        kinds = (*(pa.int64() for _ in range(5)), *(pa.binary() for _ in range(3)))
         last = None
         for batch in slices(batches, 64):
             out: list[tuple] = []
@@ -461,27 +482,100 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 if (mine, key) == last:  # an equal row has the same to say
                     continue
                 last = (mine, key)
+                lines: list[int] = []
                 for x in met:
-                    span, like, data = x["span"], x["like"], None
+                    span, like, data, ends = x["span"], x["like"], None, None
                     if x["__row"] != mine:
+                        lines = lines or short_line_ends(text)
                         start = like >> SPAN_BITS
-                        like, data = None, _content(text, start, start + (like & low))
+                        end = start + (like & low)
+                        like, data, ends = None, text[start:end], array("I", [e - start for e in _inner(lines, start, end)]).tobytes()
                     start = span >> SPAN_BITS
-                    out.append((x["__id"], x["__row"], start, start + (span & low), like, data))
+                    out.append((x["__id"], x["__row"], start, start + (span & low), like, data, ends, x["parts"]))
+            for k in range(0, len(out), 20_000):
+                columns = zip(*out[k : k + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[*spans, "like", "data", "ends", "parts"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is the same byte by byte; what is not comes with its own bytes."""
+        kinds = (*(pa.int64() for _ in range(4)), pa.binary())
+        last = None
+        for batch in slices(batches, 64):
+            out: list[tuple] = []
+            for row, key, met, text in zip(*(batch.column(k).to_pylist() for k in ("__row", "__id", "__spans")), raw_utf8(batch.column("__text"))):
+                if (row, key) == last:
+                    continue
+                last = (row, key)
+                lines: list[int] = []
+                for x in met:
+                    a, b, like, data, to = x["start"], x["end"], x["like"], x["data"], 0
+                    if x["of"] != key:
+                        continue
+                    if data is None and like is None:
+                        out.append((key, row, a, b, None))
+                        continue
+                    if data is None:
+                        lines = lines or short_line_ends(text)
+                        at = like >> SPAN_BITS
+                        to = at + (like & low)
+                        data, ends = text[at:to], [e - at for e in _inner(lines, at, to)]
+                    if text[a:b].rstrip() == data.rstrip():
+                        if max(a, to) < b:
+                            out.append((key, row, max(a, to), b, None))
+                        continue
+                    lines = lines or short_line_ends(text)
+                    if x["ends"] is not None:
+                        ends = array("I", x["ends"]).tolist()
+                    parts = array("I", x["parts"] or b"").tolist()
+                    if not parts or _lines(text, lines, a, b) == _lines(data, ends, 0, len(data)):
+                        parts = [0, b - a, len(data)]
+                    for at, size, like_size in zip(parts[::3], parts[1::3], parts[2::3]):
+                        start, end = a + at, a + at + size
+                        own = _lines(text, lines, start, end)
+                        if own != _lines(data, ends, at, at + like_size):
+                            out.append((key, row, start, end, b"\n".join(own)))
+                        elif max(start, to) < end:
+                            out.append((key, row, max(start, to), end, None))
             for k in range(0, len(out), 20_000):
                 columns = zip(*out[k : k + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["__id", "__row", "start", "end", "like", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[*spans, "data"])
 
-    places = "__id long, __row long, span long, of long, like long"
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of what comes with the same bytes all but the first; what was found to be the same passes."""
+        first: tuple = (None,) * 4
+        for batch in slices(batches, 8192):
+            out: list[tuple] = []
+            for key, row, a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if data is not None:
+                    if data != first[0]:
+                        first = data, key, row, b
+                        continue
+                    if (key, row) == first[1:3]:
+                        a = max(a, first[3])
+                if a < b:
+                    out.append((key, row, a, b))
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=spans)
+
+    spans = ["__id", "__row", "start", "end"]
+    span, places = "__id long, __row long, start long, end long", "__id long, __row long, span long, of long, like long"
     found = rows.mapInArrow(lean(emit), "range long, data binary, __id long, __row long, span long")
     dealt = found.repartition(F.coalesce("range", "__row")).sortWithinPartitions("range")
     met = dealt.mapInArrow(lean(meet), places)
-    runs = met.groupBy("__id", "__row").agg(F.collect_list(F.struct("span", "of", "like"))).mapInArrow(lean(join_runs), places)
-    asked = runs.groupBy(F.col("of").alias("__key")).agg(F.collect_list(F.struct("__id", "__row", "span", "like")).alias("__of"))
-    # All columns go along, so that this join and that of the cut read one and the same exchange.
-    texts = _with_row(docs, id_col, text_col).join(asked, F.col("__row") == F.col("__key")).drop("__key")
-    texts = texts.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string")})
-    return texts.mapInArrow(lean(fetch), "__id long, __row long, start long, end long, like long, data binary")
+    runs = met.groupBy("__id", "__row").agg(F.collect_list(F.struct("span", "of", "like"))).mapInArrow(lean(join_runs), places + ", parts binary")
+    asked = runs.groupBy(F.col("of").alias("__key")).agg(F.collect_list(F.struct("__id", "__row", "span", "like", "parts")).alias("__of"))
+
+    def texts_with(others: DataFrame) -> DataFrame:
+        # All columns go along, so that these joins and that of the cut read one and the same exchange.
+        texts = _with_row(docs, id_col, text_col).join(others, F.col("__row") == F.col("__key")).drop("__key")
+        return texts.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string")})
+
+    fetched = texts_with(asked).mapInArrow(lean(fetch), span + ", like long, data binary, ends binary, parts binary")
+    both = F.struct(F.col("__id").alias("of"), "start", "end", "like", "data", "ends", "parts")
+    compared = texts_with(fetched.groupBy(F.col("__row").alias("__key")).agg(F.collect_list(both).alias("__spans"))).mapInArrow(lean(compare), span + ", data binary")
+    deal = F.when(F.col("data").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("data"))
+    dealt = compared.withColumn("deal", deal).repartition("deal").sortWithinPartitions("data", "__id", "__row", "start", "end")
+    return dealt.select(*spans, "data").mapInArrow(lean(settle), span)
 
 
 def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -491,37 +585,19 @@ def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=repeated_spans) -> DataFrame:
     """``docs`` with what ``find`` gives cut out of the text, and ``__cut``: struct(n_spans, n_bytes, n_all).
 
-    Overlapping spans count as one, windows also where they touch. A span that comes with bytes, or the place in its text, that it is like goes only if
-    it is the same byte by byte, white space at the ends of lines left out.
+    Overlapping spans count as one, windows also where they touch.
 
     Untouched texts, null ones included, stay byte for byte. A text that loses something loses white space at its
     end as well. Other columns stay; an older ``__cut`` is replaced.
     """
     docs = docs.drop("__cut", "__row", "__spans", "__key", "__of")
     found = find(docs, id_col=id_col, text_col=text_col)
-    touching = "data" in found.columns
-    if not touching:
-        found = found.withColumns({"like": F.lit(None).cast("long"), "data": F.lit(None).cast("binary")})
-    cut = F.struct(F.col("__id").alias("of"), "start", "end", "like", "data")
+    touching = find is repeated_runs
+    cut = F.struct(F.col("__id").alias("of"), "start", "end")
     cuts = found.groupBy(F.col("__row").alias("__key")).agg(F.collect_list(cut).alias("__spans"))
     joined = _with_row(docs, id_col, text_col).join(cuts, F.col("__row") == F.col("__key"), "left").drop("__row", "__key")
     joined = joined.withColumn("__spans", F.filter("__spans", lambda x: x["of"].eqNullSafe(F.col(id_col).cast("long"))))
 
-    def same(text: bytes, found: list[dict]) -> Iterator[tuple[int, int]]:
-        for x in found:
-            a, b = x["start"], x["end"]
-            if x["data"] is not None:
-                if _content(text, a, b) != x["data"]:
-                    continue
-            elif x["like"] is not None:
-                at = x["like"] >> SPAN_BITS
-                to = at + (x["like"] & (1 << SPAN_BITS) - 1)
-                if _content(text, a, b) != _content(text, at, to):
-                    continue
-                a = max(a, to)
-            if a < b:
-                yield a, b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_spans", pa.int64()), ("n_bytes", pa.int64()), ("n_all", pa.int64())])
         for batch in slices(batches, 512):
@@ -532,7 +608,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fi
                 n_spans, n, text = 0, 0, texts[k]
                 if cut:
                     pieces, last = [], 0
-                    for a, b in sorted(same(text, cut)):
+                    for a, b in sorted((x["start"], x["end"]) for x in cut):
                         n_spans += a > last or a == last and (not touching or not n_spans)
                         if b > last:
                             pieces.append(text[last:a])

@@ -248,3 +248,35 @@ def test_clean_keeps_every_remainder(make_docs, prose):
     rows = [(1, prose(44, 200) + ". " + notice), (2, f"{own} {notice}"), (3, t * 3), (4, notice)]
     out = {r.doc_id: r.text for r in L.clean(make_docs(rows)).collect()}
     assert out == {1: rows[0][1], 2: own, 3: t.rstrip()}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("modulus", [1, 7])
+def test_digests_do_not_decide(make_docs, prose, monkeypatch, parts, modulus):
+    """Whatever digests are worth, what stands elsewhere before goes, and nothing else."""
+    p, q = prose(77, 60).replace("\n", " "), prose(78, 30).replace("\n", " ")
+    rows = [(k, f"{prose(k, 20)}. {p if k % 2 else q} {prose(300 + k, 20)}. {q if k % 3 else p}") for k in range(10)]
+    rows += [(52, p), (52, p), (None, f"{q}. {p}"), (54, (p + " ") * 3), (55, p.replace(". ", ".\n\n")), (56, "a. b, c: d! " * 40), (57, None)]
+    want = {i: out for (i, _), out in brute_runs(rows).items()}
+    exact = L.windows
+    monkeypatch.setattr(L, "windows", lambda texts: (*(found := exact(texts))[:3], *(x % modulus for x in found[3:])))
+    assert left(make_docs(rows).repartition(parts)) == want
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_runs_beside_equal_digests_are_cut(make_docs, prose, monkeypatch, parts):
+    """Digests that take one word for another join a repeat to what follows; the repeat goes, that stays."""
+    p = prose(77, 60).replace("\n", " ") + "."
+    rows = [(k, f"{prose(k, 20)}. {p} {word} {prose(50, 30)}.") for k, word in enumerate(["AAAA", "BBBB", "BBBB", "CCCC", "CCCC"])]
+    want = {i: out for (i, _), out in brute_runs(rows).items()}
+    exact = L.windows
+    monkeypatch.setattr(L, "windows", lambda texts: exact([t.replace(b"BBBB", b"AAAA").replace(b"CCCC", b"AAAA") for t in texts]))
+    got = left(make_docs(rows).repartition(parts))
+    assert got == want and p not in got[3] and "CCCC" in got[3] and "CCCC" not in got[4]
+
+
+def test_white_space_inside_lines_counts(make_docs, prose, monkeypatch):
+    rows = [(1, "one two, three four five. " * 2 + prose(1, 90)), (2, ("one two, three four five. " * 2 + prose(1, 90)).replace(" ", "  "))]
+    exact = L.windows
+    monkeypatch.setattr(L, "windows", lambda texts: (*(found := exact(texts))[:3], *(x % 1 for x in found[3:])))
+    assert left(make_docs(rows)) == {i: out for (i, _), out in brute_runs(rows).items()}

@@ -58,6 +58,19 @@ def test_line_stage_compares_bytes(spark, make_docs, prose, monkeypatch):
     assert {i: got[i] for i in range(6)} == {i: want[i] for i in range(6)} and got[10] == notice and got[11].startswith(want[11])
 
 
+def test_line_stage_cuts_repeats_whose_digest_others_have(spark, make_docs, prose, monkeypatch):
+    """Of texts with one digest, each loses what stands in one before it, not only what stands in the first."""
+    from papyra.llm import line_dedup as L
+
+    one, two = (prose(k, 90).replace("\n", " ") + "." for k in (41, 43))
+    rows = [(1, one), (2, two), (3, prose(44, 30) + ". " + two), (4, two), (5, None), (6, one + " " + prose(45, 40))]
+    want = {i: t for (i, _), t in runs(rows).items() if t is None or t.strip()}
+    exact = L.windows
+    monkeypatch.setattr(L, "windows", lambda texts: (*(found := exact(texts))[:3], *(x % 2 for x in found[3:])))
+    got = dict(pairs(C.drop_repeated_lines(spark, make_docs(rows).repartition(3), "")))
+    assert got == want and got[3] == prose(44, 30) + "." and 4 not in got
+
+
 def test_near_dedup_stage(stages):
     want = sorted(i for i, c in near(pairs(stages[2])) if i == c)
     assert sorted(i for i, _ in pairs(stages[3])) == want
