@@ -26,9 +26,11 @@ import re
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -442,12 +444,13 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         """Overlapping spans of a text that are as far from overlapping ones of another are one, ``parts`` of it."""
         for batch in slices(batches, 256):
             out: list[tuple] = []
-            for key, row, met in zip(*(c.to_pylist() for c in batch.columns)):
+            met = batch.column(2)
+            flat = zip(*(c.fill_null(-1).to_numpy().tolist() for c in met.flatten().flatten()))
+            for key, row, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.list_value_length(met).to_pylist()):
                 others = []
-                for x in met:
-                    span, of, like = x["span"], x["of"], x["like"]
-                    if of is None or of == row:
-                        out.append((key, row, span, row, like, None))
+                for span, of, like in islice(flat, n):
+                    if like < 0 or of == row:
+                        out.append((key, row, span, row, None if like < 0 else like, None))
                     else:
                         a, b = span >> SPAN_BITS, like >> SPAN_BITS
                         others.append((of, b - a, a, a + (span & low), b + (like & low)))
