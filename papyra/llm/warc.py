@@ -146,8 +146,9 @@ class Archive:
     """Records and gaps of one archive, read forward from a seekable source."""
 
     CHUNK = 1 << 18
-    #: Compressed bytes that are unpacked at a time in a damaged member: at most so many are lost before the damage.
-    PIECE = 256
+    #: Compressed bytes that are unpacked at a time in a damaged member. The piece that fails is unpacked again in smaller
+    #: ones, down to single bytes, so nothing before the damage is lost.
+    PIECE = 4096
 
     def __init__(self, source, size: int):
         self.source, self.size = source, size
@@ -200,22 +201,37 @@ class Archive:
             raise Damaged("empty member")
         return out
 
-    def _salvage(self, at: int) -> list[Record | Gap]:
-        """What a damaged member still holds: its records, of no length in the archive, and the gaps between them."""
-        unpack, parts, p = zlib.decompressobj(31), [], at
-        while not unpack.eof and (chunk := self._read(p, self.PIECE)):
+    def _unpack(self, at: int, most: int = 0) -> tuple[bytes, int]:
+        """The first ``most`` plain bytes of a damaged member (0: all before the damage) and where they end in the archive."""
+        unpack, parts, p, n, size = zlib.decompressobj(31), [], at, self.PIECE, 0
+        head = b""
+        while not unpack.eof and not 0 < most <= size and (chunk := self._read(p, n)):
+            before = unpack.copy()
             try:
-                parts.append(unpack.decompress(chunk))
+                part = unpack.decompress(chunk, most and most - size)
             except zlib.error:
-                break
-            p += len(chunk)
-            if p == at + len(chunk) and not (b"".join(parts) + VERSION).startswith(VERSION):
-                return []
-        data, out, p = b"".join(parts), [], 0
+                if n == 1:
+                    break
+                unpack, n = before, n // 8 or 1
+                continue
+            p += len(chunk) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
+            parts.append(part)
+            size += len(part)
+            if len(head) < len(VERSION):
+                head += part[: len(VERSION) - len(head)]
+                if not VERSION.startswith(head):
+                    return b"", at
+        return b"".join(parts), p
+
+    def _salvage(self, at: int) -> tuple[list[Record | Gap], int]:
+        """What a damaged member still holds: its records, of no length in the archive, and the gaps between them; and
+        where the last record ends, since a stored member shows its records to a search from an earlier place again."""
+        data, out, p, last = self._unpack(at)[0], [], 0, 0
         while p < len(data):
             try:
                 record, p = self._one(data, p, at, 0)
                 out.append(record)
+                last = p
             except Damaged as e:
                 q, found = p, None
                 while found is None and (q := data.find(VERSION, q + 1)) >= 0:
@@ -226,7 +242,7 @@ class Archive:
                 end = q if found else len(data)
                 out.append(Gap(at, 0, f"{e}; plain bytes {p} to {end} of the member"))
                 p = end
-        return out if any(isinstance(x, Record) for x in out) else []
+        return (out, max(at + 1, self._unpack(at, last)[1])) if last else ([], at + 1)
 
     def _plain(self, at: int) -> Record:
         """The record whose version line is at ``at``."""
@@ -273,24 +289,26 @@ class Archive:
                     yield at + m.start()
             at += self.CHUNK
 
-    def _try(self, at: int) -> tuple[list[Record | Gap], int | None, str]:
-        """Records at a place and where they end; or what can be salvaged there, no end, and why."""
+    def _try(self, at: int) -> tuple[list[Record | Gap], int | None, str, int]:
+        """Records at a place and where they end; or what can be salvaged there, no end, and why. Then where to search on."""
         try:
-            return *self._at(at), ""
+            items, end = self._at(at)
+            return items, end, "", end
         except Damaged as e:
             packed = self._read(at, len(GZIP_MAGIC)) == GZIP_MAGIC
-            return self._salvage(at) if packed else [], None, str(e)
+            items, after = self._salvage(at) if packed else ([], at + 1)
+            return items, None, str(e), after
 
     def __iter__(self) -> Iterator[Record | Gap]:
         at, found = 0, None
         while at < self.size:
-            items, end, reason = found or self._try(at)
+            items, end, reason, after = found or self._try(at)
             found = None
             yield from items
             if end is not None:
                 at = end
                 continue
-            for q in self._candidates(at + 1):
+            for q in self._candidates(after):
                 found = self._try(q)
                 if found[0]:
                     break

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import pytest
 
@@ -76,6 +77,19 @@ def test_records_inside_a_damaged_member_are_recovered():
     assert 13 <= sum(isinstance(x, W.Record) for x in cut) <= 15 and cut[-1].length == len(packed) // 2
 
 
+def test_nothing_before_the_damage_is_lost():
+    """Members shorter than a piece, whatever the compressor makes of them."""
+    for level in (0, 1, 9):
+        wrong_sum = bytearray(gzip.compress(RECORDS[1] + RECORDS[2], level, mtime=0))
+        wrong_sum[-8] ^= 1
+        assert [x.payload for x in read(bytes(wrong_sum)) if isinstance(x, W.Record)] == PAYLOADS[1:3]
+    for k in range(1, 20):
+        pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+        whole = pack.compress(RECORDS[k]) + pack.flush(zlib.Z_SYNC_FLUSH)
+        record, gap = read(whole + b"\xff" + pack.compress(RECORDS[0]) + pack.flush())  # \xff begins no block
+        assert record.payload == PAYLOADS[k] and "gzip" in gap.reason
+
+
 def test_wrong_digest_is_quarantined():
     bad = RECORDS[7].replace(b"foo", b"bar", 1)
     found = read(RECORDS[6] + bad + RECORDS[8])
